@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import distinct_counts, heavy_hitters, similar_vectors
+from telemill.llm import distinct_counts, heavy_hitters, sentences, similar_vectors
 from telemill.session import cut_lineage, table
 
 DIMS = ["service", "env", "operation"]
@@ -143,4 +143,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.close_pairs(p6_neighbours(spark, sf_dir).withColumnRenamed("vec_id", "id"), 0.9)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours)}
+# 10. Sentences
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_rows(table(spark, sf_dir, "documents"))
+
+
+def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, n_chars of the sentences of every document that has any."""
+    found = p10_found(spark, sf_dir)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours, p10_found, p10_lengths)}
