@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import distinct_counts, heavy_hitters, sentences, similar_vectors
+from telemill.llm import distinct_counts, heavy_hitters, mixing, packing, sentences, similar_vectors, tokens
 from telemill.session import cut_lineage, table
 
 DIMS = ["service", "env", "operation"]
@@ -143,6 +143,52 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.close_pairs(p6_neighbours(spark, sf_dir).withColumnRenamed("vec_id", "id"), 0.9)
 
 
+# 8. Packing
+
+
+def _token_counts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return cut_lineage(tokens.with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id", *keep]))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame, packing.Plan]]:
+    sizes = _token_counts(spark, sf_dir).where(F.col("doc_id").isNotNull())
+    names = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_sizes").where("capacity_tokens > 0").limit(100).collect()]
+    return [(name, capacity, *packing.pack(sizes, "doc_id", "tokens", capacity)) for name, capacity in names]
+
+
+def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, pack_id, doc_id, piece_no, token_start, tokens: where every text goes, for every pack size."""
+    out = None
+    for name, _, packs, _ in _packed(spark, sf_dir):
+        part = packs.select(F.lit(name).alias("pack_name"), "pack_id", F.col("item").alias("doc_id"), "piece_no", "token_start", "tokens")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else spark.createDataFrame([], "pack_name string, pack_id long, doc_id long, piece_no int, token_start long, tokens long")
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, capacity, packs, tokens, unused (share), unused_one_bucket (share if batches held one bucket only)."""
+    made = _packed(spark, sf_dir)
+    out = None
+    for name, capacity, packs, plan in made:
+        part = packs.agg(F.lit(name).alias("pack_name"), F.lit(capacity).alias("capacity"), F.lit(plan.batches).cast("long").alias("packs"), F.sum("tokens").alias("tokens"))
+        part = part.withColumn("unused", 1 - F.try_divide("tokens", F.col("packs") * capacity)).withColumn("unused_one_bucket", F.lit(plan.unused_one_bucket))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+# 9. Mixing
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, tokens, repeats of every document of the mix."""
+    wanted = table(spark, sf_dir, "source_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats").limit(10_000).collect()
+    return mixing.mix(_token_counts(spark, sf_dir, "source"), "doc_id", "source", "tokens", [tuple(r) for r in wanted])
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
 # 10. Sentences
 
 
@@ -156,4 +202,4 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours, p10_found, p10_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours, p8_packs, p8_usage, p9_mix, p9_shares, p10_found, p10_lengths)}
