@@ -202,4 +202,22 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("n_chars"))
 
 
+_LOGS_SQL = """l AS (SELECT log_id, ts_unix, coalesce(event_ts::DATE, make_timestamp(ts_unix * 1000000)::DATE) AS day, coalesce(nullif(service, ''), 'unknown') AS svc, env, operation,
+  coalesce(nullif(lower(trim(user_id)), ''), nullif(lower(trim(account_id)), '')) AS usr, nullif(regexp_replace(split_part(lower(endpoint), '?', 1), '/$', ''), '') AS endpoint, nullif(lower(trim(user_id)), '') AS user_id FROM log_events)"""
+
+ORACLE_SQL = {
+    "p1_found": f"""WITH {_LOGS_SQL}, c AS (SELECT day, svc, env, operation, grouping(svc) AS gs, grouping(env) AS ge, grouping(operation) AS go, count(DISTINCT usr) AS n FROM l GROUP BY day, CUBE (svc, env, operation)),
+      d AS (SELECT agg_id, make_timestamp(window_start * 1000000)::DATE AS day, service, labels['env'] AS env, labels['operation'] AS operation,
+            CASE WHEN regexp_matches(trim(labels['unique_users']), '^[+-]?[0-9]+$') THEN trim(labels['unique_users'])::DOUBLE END AS u FROM daily_aggregates)
+      SELECT agg_id FROM d LEFT JOIN c ON c.day = d.day AND gs = (service IS NULL)::INT AND ge = (d.env IS NULL)::INT AND go = (d.operation IS NULL)::INT
+        AND (service IS NULL OR svc = service) AND (d.env IS NULL OR c.env = d.env) AND (d.operation IS NULL OR c.operation = d.operation)
+      WHERE u IS NULL OR abs(u - coalesce(n, 0)) > 0.1 * coalesce(n, 0)""",
+    "p2_found": f"""WITH {_LOGS_SQL}, o AS (SELECT DISTINCT ON (log_id) * FROM l ORDER BY log_id, ts_unix), t AS (SELECT day, count(*) AS n FROM o GROUP BY ALL),
+      v AS (SELECT day, 'endpoint' AS field, endpoint AS item FROM o UNION ALL SELECT day, 'user_id', user_id FROM o), k AS (SELECT day, field, item, count(*) AS k FROM v WHERE item IS NOT NULL GROUP BY ALL)
+      SELECT (year(day) * 10000 + month(day) * 100 + day(day))::BIGINT AS event_day, field, item FROM k JOIN t USING (day) WHERE k.k * 100 >= t.n""",
+    "p6_found": """WITH g AS (SELECT vec_id, vector::DOUBLE[128] AS v FROM aggregate_vectors WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p)
+      SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5 AND c >= 0.9""",
+}
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours, p8_packs, p8_usage, p9_mix, p9_shares, p10_found, p10_lengths)}
