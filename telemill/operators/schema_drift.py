@@ -211,4 +211,4 @@ def unified_table(lines: DataFrame, names: DataFrame, fields: list[tuple[str, st
         F.when(body.startswith("{") & body.endswith("}") & F.try_parse_json(body).isNotNull(), F.from_json(body, "map<string,string>")).alias("values"),
     )
     at = lambda f: F.col("values")[F.col("names")[f]]
-    return parsed.join(names, ["feed", "file_no"]).select("feed", "file_no", "line_no", *[_typed(at(f), t).alias(f) for f, t in fields])
+    return parsed.join(names, ["feed", "file_no"]).select("feed", "file_no", "line_no", *[_typed(at(f), t).alias(f"{f}_field" if f in ("feed", "file_no", "line_no") else f) for f, t in fields])

@@ -52,4 +52,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_flags(spark, sf_dir).select("service", "window_start", "field")
 
 
+_RECORDS_SQL = """b AS (SELECT ts_unix, trim(decode(bytes)) AS t FROM envelopes WHERE kind = 'json_logs' AND bytes IS NOT NULL AND ts_unix IS NOT NULL),
+j AS (SELECT ts_unix, try_cast(t AS JSON) AS j FROM b WHERE starts_with(t, '{')),
+f AS (SELECT j->>'rid' AS rid, ts_unix AS arrival, coalesce(nullif(j->>'service', ''), 'unknown') AS service, j->>'ts' AS a, j->>'timestamp_unix_nano' AS n FROM j WHERE json_type(j) = 'OBJECT'),
+e AS (SELECT rid, arrival, service,
+        coalesce(CASE WHEN try_cast(a AS BIGINT) IS NOT NULL THEN CASE WHEN a::BIGINT < 100000000000 THEN a::BIGINT WHEN a::BIGINT < 100000000000000 THEN a::BIGINT // 1000
+                 WHEN a::BIGINT < 100000000000000000 THEN a::BIGINT // 1000000 ELSE a::BIGINT // 1000000000 END
+                 WHEN regexp_matches(a, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]') THEN epoch_us(try_cast(a AS TIMESTAMPTZ)) // 1000000 END,
+                 try_cast(n AS BIGINT) // 1000000000) AS event
+      FROM f WHERE rid IS NOT NULL),
+r AS (SELECT rid, service, arrival, coalesce(event, arrival) AS event FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY arrival, service, event NULLS FIRST) AS k FROM e) WHERE k = 1),
+c AS (SELECT service, event - event % 300 AS window_start, greatest(0, (arrival - (event - event % 300) - 300) // 120) AS arrival_period, count(*) AS new_records
+      FROM r WHERE arrival - event <= 3600 GROUP BY ALL)"""
+
+ORACLE_SQL = {
+    "p3_found": f"WITH {_RECORDS_SQL} SELECT DISTINCT service, window_start FROM c WHERE arrival_period >= 1",
+    "p3_revisions": f"""WITH {_RECORDS_SQL} SELECT service, window_start, window_start + 300 AS window_end, arrival_period, new_records, sum(new_records) OVER w ::BIGINT AS records, row_number() OVER w AS revision,
+        lead(arrival_period) OVER w IS NULL AS is_final FROM c WINDOW w AS (PARTITION BY service, window_start ORDER BY arrival_period)""",
+    "p4_found": """WITH m AS (SELECT service, window_start - window_start % 60 AS slot, rps IS NOT NULL AND NOT isnan(rps) AS good FROM aggregates WHERE service IS NOT NULL AND window_start IS NOT NULL),
+        x AS (SELECT service, slot // 86400 AS day, min(slot) AS lo, max(slot) AS hi FROM m GROUP BY ALL), s AS (SELECT service, unnest(range(lo, hi + 60, 60)) AS slot_start FROM x)
+        SELECT service, slot_start FROM s ANTI JOIN (SELECT service, slot AS slot_start FROM m WHERE good) USING (service, slot_start)""",
+}
+
 QUERIES = {f.__name__: f for f in (p3_found, p3_revisions, p4_found, p4_grid, p5_found, p5_table, p7_found, p7_flags)}
