@@ -115,10 +115,11 @@ def score(x: list[Column], trees: list[list[dict]], subsample: int = 256, compil
     if _walks_forward(trees, compile_limit):
         depth = sum((_tree_depth(t, x) for t in trees), F.lit(0)) / len(trees)
     else:
+        width = len(x)
 
         @F.pandas_udf("double")
         def walk(batch: pd.Series) -> pd.Series:
-            rows = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, len(x)))
+            rows = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, width))
             return pd.Series(sum(_batch_depth(t, rows) for t in trees) / len(trees))
 
         depth = walk(F.array(*x))
