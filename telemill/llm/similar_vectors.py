@@ -138,7 +138,8 @@ def nearest(
         if held is not None:
             yield _lists(held[1], held[3])
 
-    partitions = max(1, -(-n * curves // rows_per_partition), min(curves * 2, spark.sparkContext.defaultParallelism * 2))
+    # Small inputs are split too, but never into parts that hold few blocks: a bound between partitions hides neighbours.
+    partitions = max(1, -(-n * curves // rows_per_partition), min(spark.sparkContext.defaultParallelism * 2, n * curves // (16 * block)))
     ordered = usable.mapInPandas(order, "curve int, key long, id long, unit binary").repartitionByRange(partitions, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
     lists = ordered.mapInPandas(windows, "id long, near array<struct<c:float,n:long>>")
     # The same pair may differ in its last digit between orderings: of sorted candidates the first of each neighbour counts.
