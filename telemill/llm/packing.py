@@ -39,14 +39,10 @@ def length_buckets(counts: np.ndarray, buckets: int) -> list[int]:
     best = lengths * items[1:] - tokens[1:]  # one bucket for the first j + 1 lengths
     back = np.zeros((min(buckets, m), m), dtype=np.int32)
     for k in range(1, len(back)):
-        new = best.copy()
-        for j in range(1, m):
-            # The last bucket holds lengths i + 1 .. j, all rounded up to lengths[j].
-            cost = best[:j] + lengths[j] * (items[j + 1] - items[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], back[k, j] = cost[i], i + 1
-        best = new
+        new, choice = _layer(best, lengths.astype(np.float64), items, tokens)
+        better = new < best
+        back[k, better] = choice[better] + 1
+        best = np.where(better, new, best)
     out, j = [], m - 1
     for k in range(len(back) - 1, -1, -1):
         out.append(int(lengths[j]))
@@ -56,6 +52,34 @@ def length_buckets(counts: np.ndarray, buckets: int) -> list[int]:
     return sorted(out)
 
 
+def _layer(best: np.ndarray, lengths: np.ndarray, items: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over i < j of best[i] + padding of one bucket i + 1 .. j, and the i, for every j.
+
+    The best i never falls as j grows, so halves of the range bound each other: all middles of a level at once.
+    """
+    m = len(best)
+    new, choice = np.full(m, np.inf), np.zeros(m, dtype=np.int32)
+    lo, hi, i_lo, i_hi = (np.array([x]) for x in (1, m - 1, 0, m - 2))
+    while len(lo):
+        keep = lo <= hi
+        lo, hi, i_lo, i_hi = lo[keep], hi[keep], i_lo[keep], i_hi[keep]
+        if not len(lo):
+            break
+        j = (lo + hi) // 2
+        n = np.minimum(i_hi, j - 1) - i_lo + 1
+        start = np.cumsum(n) - n
+        i = np.arange(n.sum()) - np.repeat(start - i_lo, n)
+        at = np.repeat(j, n)
+        cost = best[i] + lengths[at] * (items[at + 1] - items[i + 1]) - (tokens[at + 1] - tokens[i + 1])
+        least = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == np.repeat(least, n))
+        segment = np.repeat(np.arange(len(j)), n)[hit]
+        i = i[hit[np.unique(segment, return_index=True)[1]]]
+        new[j], choice[j] = least, i
+        lo, hi, i_lo, i_hi = np.r_[lo, j + 1], np.r_[j - 1, hi], np.r_[i_lo, i], np.r_[i, i_hi]
+    return new, choice
+
+
 @dataclass
 class Plan:
     """segments: (bucket, first rank, items a batch, first batch, batches); batches; and unused shares."""
@@ -122,7 +146,7 @@ def pieces(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     )
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int, buckets: int = 96, rows_per_shard: int = 50_000) -> tuple[DataFrame, Plan]:
+def pack(items: DataFrame, item: str, size: str, capacity: int, buckets: int = 256, rows_per_shard: int = 50_000) -> tuple[DataFrame, Plan]:
     """pack_id, item, piece_no, token_start, tokens; and the plan. items should be cheap to read twice."""
     spark = items.sparkSession
     cut = pieces(items, item, size, capacity)
