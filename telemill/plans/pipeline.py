@@ -17,16 +17,26 @@ from pyspark.sql import functions as F
 from telemill.filters.expressions import filter_aggregates, filter_envelopes
 from telemill.operators import forest, late_events, logs, metrics, otlp_logs, spans, vectors
 from telemill.plans.config import Component, Config, ConfigError
+from telemill.schema import KINDS
 from telemill.sinks import stores
 from telemill.sources import brokers, landing, otlp
 
 
 @dataclass(frozen=True)
 class Flow:
-    envelopes: DataFrame
+    """Envelopes by kind, so that a stage reads and decodes only its own; metric points; aggregate rows."""
+
+    kinds: dict[str, DataFrame]
     points: DataFrame | None = None
     aggregates: DataFrame | None = None
 
+    @staticmethod
+    def of(envelopes: DataFrame) -> Flow:
+        return Flow({k: envelopes.where(F.col("kind") == k) for k in KINDS})
+
+    def with_kind(self, kind: str, rows: DataFrame | None) -> Flow:
+        return replace(self, kinds={k: v for k, v in (self.kinds | {kind: rows}).items() if v is not None})
+
     def with_points(self, points: DataFrame) -> Flow:
         return replace(self, points=points if self.points is None else self.points.unionByName(points))
 
@@ -44,31 +54,35 @@ def _filter(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         if post:
             return flow if flow.aggregates is None else replace(flow, aggregates=filter_aggregates(flow.aggregates, expression, drop))
-        return replace(flow, envelopes=filter_envelopes(flow.envelopes, expression, on, drop))
+        return replace(flow, kinds={k: filter_envelopes(v, expression, on, drop) for k, v in flow.kinds.items()})
 
     return run
 
 
 def _spanmetrics(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
-        mine, rest = landing.route(flow.envelopes, "traces")
-        marked = mine.withColumn("__ok", otlp.decodable(F.col("bytes"), "traces"))
-        rows = otlp.decode_bodies(marked.where("__ok"), "bytes", "traces")
+        if "traces" not in flow.kinds:
+            return flow
+        mine = flow.kinds["traces"]
+        rows = otlp.decode_bodies(mine, "bytes", "traces")
         points = spans.to_points(
             rows, c.get("dimensions", []), tuple(float(b) for b in c.get("histogram_buckets", spans.DURATION_BOUNDS)), c.get("error_event_names", ["exception"]), c.get("error_attributes", ["exception.type"]), c.get("status_errors", True, bool)
         )
-        return replace(flow, envelopes=rest.unionByName(marked.where("NOT __ok").drop("__ok"))).with_points(points)
+        return flow.with_kind("traces", mine.where(~otlp.decodable(F.col("bytes"), "traces"))).with_points(points)
 
     return run
 
 
 def _otlplogs(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
-        mine, rest = landing.route(flow.envelopes, "json_logs")
-        marked = mine.withColumn("__ok", ~F.trim(F.col("bytes").cast("string")).startswith("{") & otlp.decodable(F.col("bytes"), "logs"))
-        records = otlp.decode_bodies(marked.where("__ok"), "bytes", "logs")
+        if "json_logs" not in flow.kinds:
+            return flow
+        mine = flow.kinds["json_logs"]
+        is_json = F.trim(F.col("bytes").cast("string")).startswith("{")
+        records = otlp.decode_bodies(mine.where(~is_json), "bytes", "logs")
         flat = otlp_logs.flatten(records, c.get("level_alias", "level", str), c.get("attribute_prefix", "", str), c.get("service_attribute", "service.name", str))
-        return replace(flow, envelopes=rest.unionByName(marked.where("NOT __ok").drop("__ok")).unionByName(otlp_logs.to_envelopes(flat)))
+        unchanged = mine.where(is_json | ~otlp.decodable(F.col("bytes"), "logs"))
+        return flow.with_kind("json_logs", unchanged.unionByName(otlp_logs.to_envelopes(flat)))
 
     return run
 
@@ -79,23 +93,27 @@ def _seconds(c: Component) -> int:
 
 def _summarizer(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
-        mine, rest = landing.route(flow.envelopes, "metrics", "prom_rw")
-        decoded = otlp.decode_bodies(mine.where("kind = 'metrics'"), "bytes", "metrics")
-        source = "traces" if flow.points is not None else "metrics"
         cap, window = c.get("bucket_sample_cap", 50, int), _seconds(c)
-        rows = metrics.summarize_points(metrics.to_delta(decoded), window, cap, c.get("service_attribute", "service.name", str), "metrics")
+        attribute = c.get("service_attribute", "service.name", str)
+        out = flow
         if flow.points is not None:
-            rows = rows.unionByName(metrics.summarize_points(flow.points, window, cap, c.get("service_attribute", "service.name", str), source))
-        samples = otlp.decode_bodies(mine.where("kind = 'prom_rw'"), "bytes", "prom_rw")
-        rows = rows.unionByName(metrics.summarize_prometheus(samples, window, cap, c.get("service_label", "service.name", str)))
-        return replace(flow, envelopes=rest, points=None).with_aggregates(rows)
+            out = out.with_aggregates(metrics.summarize_points(flow.points, window, cap, attribute, "traces"))
+        if "metrics" in flow.kinds:
+            decoded = otlp.decode_bodies(flow.kinds["metrics"], "bytes", "metrics")
+            out = out.with_aggregates(metrics.summarize_points(metrics.to_delta(decoded), window, cap, attribute, "metrics"))
+        if "prom_rw" in flow.kinds:
+            samples = otlp.decode_bodies(flow.kinds["prom_rw"], "bytes", "prom_rw")
+            out = out.with_aggregates(metrics.summarize_prometheus(samples, window, cap, c.get("service_label", "service.name", str)))
+        return replace(out, points=None).with_kind("metrics", None).with_kind("prom_rw", None)
 
     return run
 
 
 def _logsum(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
-        mine, rest = landing.route(flow.envelopes, "json_logs")
+        if "json_logs" not in flow.kinds:
+            return flow
+        mine = flow.kinds["json_logs"]
         v, fields = F.col("v"), list(c.get("top_fields", ["endpoint"]))
         get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
         at = F.coalesce(late_events.readable_seconds(get("timestamp_unix_nano")), late_events.readable_seconds(get("ts")), F.col("ts_unix"))
@@ -104,7 +122,7 @@ def _logsum(c: Component) -> Stage:
             logs.first_field(v, c.get("user_fields", ["user_id", "account_id"])).alias("user"), logs.numeric_field(v, c.get("quantile_field", "latency_ms", str)).alias("latency_ms"),
             *[logs.first_field(v, [f]).alias(f) for f in fields],
         )
-        return replace(flow, envelopes=rest).with_aggregates(logs.summarize(typed, _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
+        return flow.with_kind("json_logs", None).with_aggregates(logs.summarize(typed, _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
 
     return run
 
@@ -173,7 +191,7 @@ class Pipeline:
 
     def aggregates(self, envelopes: DataFrame) -> DataFrame | None:
         """The aggregate rows of a batch of envelopes; rows that never became aggregates are left out."""
-        return reduce(lambda flow, stage: stage(flow), self.stages, Flow(envelopes)).aggregates
+        return reduce(lambda flow, stage: stage(flow), self.stages, Flow.of(envelopes)).aggregates
 
     def source(self, spark: SparkSession, streaming: bool = False) -> DataFrame:
         return landing.fan_in(*[_receive(spark, c, streaming) for c in self.receivers])
