@@ -59,3 +59,11 @@ def percentiles(value: Column, points: Sequence[float], frequency: Column | None
 def number_value(c: Column) -> Column:
     """Truncation of max(v, 0) towards zero, as a count."""
     return F.floor(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).cast("long")
+
+
+def fenced(c: Column) -> Column:
+    """The value as a column that the optimizer computes once: a long expression isn't copied into each of its uses.
+
+    The condition always holds; being non-deterministic, it keeps filters and projections from being pushed through.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)

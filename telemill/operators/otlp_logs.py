@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.columns import non_blank, trimmed_number
+from telemill.functions.columns import fenced, non_blank, trimmed_number
 
 
 def scalar_attributes(bag: Column) -> Column:
@@ -27,8 +27,8 @@ def scalar_attributes(bag: Column) -> Column:
 
 def flatten(records: DataFrame, level_alias: str = "level", attribute_prefix: str = "", service_attribute: str = "service.name") -> DataFrame:
     """records with fields map<string,string>: one flat JSON log each."""
-    res = scalar_attributes(F.col("resource"))
-    attrs = scalar_attributes(F.col("attributes"))
+    records = records.withColumns({"__res": fenced(scalar_attributes(F.col("resource"))), "__attrs": fenced(scalar_attributes(F.col("attributes")))})
+    res, attrs = F.col("__res"), F.col("__attrs")
     hexed = lambda c: F.lower(F.hex(F.when(F.length(c) > 0, c)))
     some = lambda c: F.when(c != 0, c.cast("string"))
     severity = non_blank(F.col("severity_text"))
@@ -43,11 +43,11 @@ def flatten(records: DataFrame, level_alias: str = "level", attribute_prefix: st
     service = F.coalesce(non_blank(res[service_attribute]), non_blank(res["service.name"]), non_blank(res["service"]))
     tail = pick({"service": service, "service.name": service, "scope.name": non_blank(F.col("scope_name")), "scope.version": non_blank(F.col("scope_version"))})
     maps = [pick(base), prefixed, resource, tail]
-    out = records.withColumns({f"__m{i}": m for i, m in enumerate(maps)})
+    out = records.withColumns({f"__m{i}": fenced(m) for i, m in enumerate(maps)})
     fields = F.col("__m0")
     for i in range(1, len(maps)):
         fields = _overwritten(fields, F.col(f"__m{i}"))
-    return out.withColumn("fields", fields).drop(*[f"__m{i}" for i in range(len(maps))])
+    return out.withColumn("fields", fenced(fields)).drop("__res", "__attrs", *[f"__m{i}" for i in range(len(maps))])
 
 
 def _overwritten(old: Column, new: Column) -> Column:

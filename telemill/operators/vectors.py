@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.columns import fixed
+from telemill.functions.columns import fenced, fixed
 
 _OFFSET, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, 0xFFFFFFFFFFFFFFFF
 
@@ -163,7 +163,8 @@ def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequen
         out = exponential_average(split, "service", ["window_start"], names, ema_alpha).drop(*names)
         numbers = F.array(*[F.col(f"ema_{x}") for x in names])
     numeric = pca(numbers, pca_model).cast("array<float>")
-    made = out.withColumn("vector", F.when(source == "metrics", numeric).otherwise(hash_embedding(text, dim, n, stopwords)))
+    out = out.withColumns({"__text": fenced(text), "__numeric": fenced(numeric)})
+    made = out.withColumn("vector", F.when(source == "metrics", F.col("__numeric")).otherwise(hash_embedding(F.col("__text"), dim, n, stopwords)))
     return made.select(*[c for c in aggregates.columns if c != "vector"], "vector")
 
 

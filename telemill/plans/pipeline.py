@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.filters.expressions import filter_aggregates, filter_envelopes
+from telemill.functions.columns import fenced
 from telemill.operators import forest, late_events, logs, metrics, otlp_logs, spans, vectors
 from telemill.plans.config import Component, Config, ConfigError
 from telemill.schema import KINDS
@@ -116,12 +117,15 @@ def _logsum(c: Component) -> Stage:
         mine = flow.kinds["json_logs"]
         v, fields = F.col("v"), list(c.get("top_fields", ["endpoint"]))
         get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-        at = F.coalesce(late_events.readable_seconds(get("timestamp_unix_nano")), late_events.readable_seconds(get("ts")), F.col("ts_unix"))
-        typed = mine.select("ts_unix", logs.parse_object(F.col("bytes").cast("string")).alias("v")).where("v IS NOT NULL").select(
-            at.alias("ts"), logs.service_of(v, c.get("service_field", "service", str)).alias("service"), logs.first_field(v, [c.get("level_field", "level", str)]).alias("level"),
-            logs.first_field(v, c.get("user_fields", ["user_id", "account_id"])).alias("user"), logs.numeric_field(v, c.get("quantile_field", "latency_ms", str)).alias("latency_ms"),
-            *[logs.first_field(v, [f]).alias(f) for f in fields],
-        )
+        nanos = F.floor(get("timestamp_unix_nano").try_cast("decimal(38,0)") / 1_000_000_000).cast("long")
+        at = F.coalesce(F.when(nanos > 0, nanos), late_events.readable_seconds(get("ts")), F.col("ts_unix"))
+        read = {
+            "ts": at, "service": logs.service_of(v, c.get("service_field", "service", str)), "level": logs.first_field(v, [c.get("level_field", "level", str)]),
+            "user": logs.first_field(v, c.get("user_fields", ["user_id", "account_id"])), "latency_ms": logs.numeric_field(v, c.get("quantile_field", "latency_ms", str)),
+            **{f: logs.first_field(v, [f]) for f in fields},
+        }
+        parsed = mine.select("ts_unix", fenced(logs.parse_object(F.col("bytes").cast("string"))).alias("v")).where("v IS NOT NULL")
+        typed = parsed.select(*[fenced(x).alias(k) for k, x in read.items()])
         return flow.with_kind("json_logs", None).with_aggregates(logs.summarize(typed, _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
 
     return run
