@@ -1,7 +1,8 @@
 """Per-key state on streams: counter deltas, running z-scores, exponential averages.
 
 One small state row a key; inside a micro-batch the rows of a key are taken in
-order of time. Idle keys time out.
+order of time. With idle_ms idle keys time out; leave it out for triggers that end,
+since timeouts keep a query awake.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Step = Callable[[tuple, np.ndarray], tuple[tuple, np.ndarray]]
 
 
-def _run(rows: DataFrame, key: str, order: list[str], value: str, out: str, state: str, first: tuple, step: Step, idle_ms: int) -> DataFrame:
+def _run(rows: DataFrame, key: str, order: list[str], value: str, out: str, state: str, first: tuple, step: Step, idle_ms: int | None) -> DataFrame:
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` double"
 
@@ -30,7 +31,8 @@ def _run(rows: DataFrame, key: str, order: list[str], value: str, out: str, stat
         now = held.get if held.exists else first
         now, result = step(tuple(now), pdf[value].to_numpy(dtype=np.float64))
         held.update(now)
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         made = pdf[names].copy()
         made[out] = result
         for c in made.columns:
@@ -38,10 +40,10 @@ def _run(rows: DataFrame, key: str, order: list[str], value: str, out: str, stat
                 made[c] = made[c].astype(object)
         yield made
 
-    return rows.groupBy(key).applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, out: str = "delta", idle_ms: int = 3_600_000) -> DataFrame:
+def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, out: str = "delta", idle_ms: int | None = None) -> DataFrame:
     """max(current - previous, 0); the first point counts in full."""
 
     def step(s: tuple, x: np.ndarray) -> tuple[tuple, np.ndarray]:
@@ -51,7 +53,7 @@ def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, ou
     return _run(rows, series, order, value, out, "last double", (0.0,), step, idle_ms)
 
 
-def running_zscore(rows: DataFrame, key: str, order: list[str], value: str, out: str = "z", idle_ms: int = 86_400_000) -> DataFrame:
+def running_zscore(rows: DataFrame, key: str, order: list[str], value: str, out: str = "z", idle_ms: int | None = None) -> DataFrame:
     """(x - mean) / sample deviation over all rows of the key so far, this one included."""
 
     def step(s: tuple, x: np.ndarray) -> tuple[tuple, np.ndarray]:
@@ -69,7 +71,7 @@ def running_zscore(rows: DataFrame, key: str, order: list[str], value: str, out:
     return _run(rows, key, order, value, out, "n long, mean double, m2 double", (0, 0.0, 0.0), step, idle_ms)
 
 
-def exponential_average(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, out: str = "ema", idle_ms: int = 86_400_000) -> DataFrame:
+def exponential_average(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, out: str = "ema", idle_ms: int | None = None) -> DataFrame:
     """s = alpha x + (1 - alpha) s, from s = 0."""
 
     def step(s: tuple, x: np.ndarray) -> tuple[tuple, np.ndarray]:

@@ -96,10 +96,9 @@ def stream_of(spark, df, tmp_path, files=3):
 
 
 def collect(spark, stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
-        q.processAllAvailable()
+        assert q.awaitTermination(60)
     finally:
         q.stop()
     return spark.table(name)
