@@ -126,14 +126,14 @@ def score(x: list[Column], trees: list[list[dict]], subsample: int = 256, compil
     return F.least(F.greatest(F.exp(-depth / c), F.lit(0.0)), F.lit(1.0))
 
 
-def with_score(aggregates: DataFrame, trees: list[list[dict]], features: tuple[str, ...] = FEATURES, normalise: str = "none", subsample: int = 256, threshold: float | None = None) -> DataFrame:
+def with_score(aggregates: DataFrame, trees: list[list[dict]], features: tuple[str, ...] = FEATURES, normalise: str = "none", subsample: int = 256, threshold: float | None = None, slot=None) -> DataFrame:
     """aggregates with anomaly_score, and is_anomaly if a threshold is given; normalise "zscore" standardises per service."""
     if normalise == "zscore":
         from telemill.operators.series import running_zscore
 
         used = [f for f in features if f in _KNOWN]
         clean = aggregates.withColumns({f"x_{f}": F.when(F.isnan(F.col(f).cast("double")), 0.0).otherwise(F.coalesce(F.col(f).cast("double"), F.lit(0.0))) for f in used})
-        z = running_zscore(clean, "service", ["window_start"], [f"x_{f}" for f in used])
+        z = running_zscore(clean, "service", ["window_start"], [f"x_{f}" for f in used], slot=slot)
         x = [F.col(f"z_x_{f}") if f in used else F.lit(0.0) for f in features]
         out = z.withColumn("anomaly_score", score(x, trees, subsample)).select(*[c for c in aggregates.columns if c != "anomaly_score"], "anomaly_score")
     else:

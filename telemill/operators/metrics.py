@@ -53,14 +53,23 @@ def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, ou
     return rows.withColumn(out, F.greatest(F.col(value) - F.coalesce(before, F.lit(0.0)), F.lit(0.0)))
 
 
-def to_delta(points: DataFrame) -> DataFrame:
-    """Points with cumulative sums and histogram buckets turned into deltas."""
+def to_delta(points: DataFrame, slot=None) -> DataFrame:
+    """Points with cumulative sums and histogram buckets turned into deltas.
+
+    slot (get, put): the last point of every series of earlier calls, on streams.
+    """
     keyed = points.withColumn("series", series_key(F.col("name"), F.col("resource"), F.col("labels")))
+    if slot is not None:
+        before, keyed = slot.get(), keyed.withColumn("__old", F.lit(False))
+        keyed = keyed if before is None else keyed.unionByName(before)
+        last = F.max_by(F.struct(*[c for c in keyed.columns if c != "__old"], F.lit(True).alias("__old")), F.coalesce(F.col("time_unix_nano").cast("long"), F.lit(-(2**63))))
+        slot.put(keyed.groupBy(F.col("series").alias("__series")).agg(last.alias("p")).select("p.*"))
     w = Window.partitionBy("series").orderBy("time_unix_nano")
     before, counts_before = F.lag("value").over(w), F.lag("counts").over(w)
     total = F.col("temporality") == 2
     bucket = F.transform("counts", lambda c, i: F.greatest(c - F.coalesce(F.try_element_at(counts_before, i + 1), F.lit(0)), F.lit(0)))
-    return keyed.withColumns({"value": F.when(total, F.greatest(F.col("value") - F.coalesce(before, F.lit(0.0)), F.lit(0.0))).otherwise(F.col("value")), "counts": F.when(total, bucket).otherwise(F.col("counts"))}).drop("series")
+    made = keyed.withColumns({"value": F.when(total, F.greatest(F.col("value") - F.coalesce(before, F.lit(0.0)), F.lit(0.0))).otherwise(F.col("value")), "counts": F.when(total, bucket).otherwise(F.col("counts"))}).drop("series")
+    return made if slot is None else made.where(~F.col("__old")).drop("__old")
 
 
 def _rows(grouped: DataFrame, seconds: int, source: str) -> DataFrame:

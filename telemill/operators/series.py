@@ -14,11 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The chunk of all rows of earlier calls.
+_BEFORE = -(2**62)
 
-def running_zscore(rows: DataFrame, key: str, order: list[str], features: list[str], chunk_s: int = 86_400) -> DataFrame:
-    """rows with z_<feature>: (x - mean) / sample deviation over all rows so far, this one included."""
+
+def running_zscore(rows: DataFrame, key: str, order: list[str], features: list[str], chunk_s: int = 86_400, slot=None) -> DataFrame:
+    """rows with z_<feature>: (x - mean) / sample deviation over all rows so far, this one included.
+
+    slot (get, put): the totals of the rows of earlier calls, on streams.
+    """
     chunked = rows.withColumn("chunk", F.floor(F.col(order[0]) / chunk_s))
     sums = chunked.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features])
+    if slot is not None:
+        before = slot.get()
+        sums = sums if before is None else sums.unionByName(before)
+        slot.put(sums.groupBy(key).agg(F.lit(_BEFORE).alias("chunk"), *[F.sum(c).alias(c) for c in ["n", *[f"{p}_{f}" for p in "sq" for f in features]]]).where(F.col(key).isNotNull()))
     whole = Window.partitionBy(key)
     # Deviations from the key's mean keep the sums of squares well conditioned.
     centred = sums.withColumns({f"c_{f}": F.sum(f"s_{f}").over(whole) / F.sum("n").over(whole) for f in features})
@@ -41,8 +51,11 @@ def running_zscore(rows: DataFrame, key: str, order: list[str], features: list[s
     return out.select(*rows.columns, *[f"z_{f}" for f in features])
 
 
-def exponential_average(rows: DataFrame, key: str, order: list[str], features: list[str], alpha: float, chunk_s: int = 86_400) -> DataFrame:
-    """rows with ema_<feature>: s = alpha x + (1 - alpha) s, from s = 0. alpha outside (0, 1] leaves the feature as it is."""
+def exponential_average(rows: DataFrame, key: str, order: list[str], features: list[str], alpha: float, chunk_s: int = 86_400, slot=None) -> DataFrame:
+    """rows with ema_<feature>: s = alpha x + (1 - alpha) s, from s = 0. alpha outside (0, 1] leaves the feature as it is.
+
+    slot (get, put): the averages after the rows of earlier calls, on streams.
+    """
     if not 0 < alpha <= 1:
         return rows.withColumns({f"ema_{f}": F.col(f).cast("double") for f in features})
     keep = 1.0 - alpha
@@ -56,6 +69,11 @@ def exponential_average(rows: DataFrame, key: str, order: list[str], features: l
     fold = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: alpha * x + keep * s)
     local = chunked.withColumn("pos", F.row_number().over(w)).withColumns({f"e_{f}": fold(F.collect_list(F.col(f).cast("double")).over(recent)) for f in features})
     ends = local.groupBy(key, "chunk").agg(F.max("pos").alias("n"), *[F.max_by(f"e_{f}", "pos").alias(f"e_{f}") for f in features])
+    if slot is not None:
+        before = slot.get()
+        ends = ends if before is None else ends.unionByName(before)
+        so_far = lambda f: F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", F.col(f"e_{f}").alias("e"), "n"))), F.lit(0.0), lambda s, x: x["e"] + F.pow(F.lit(keep), x["n"].cast("double")) * s)
+        slot.put(ends.groupBy(key).agg(F.lit(_BEFORE).alias("chunk"), F.sum("n").cast(ends.schema["n"].dataType).alias("n"), *[so_far(f).alias(f"e_{f}") for f in features]).where(F.col(key).isNotNull()))
     prior = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = lambda f: F.aggregate(F.collect_list(F.struct(F.col(f"e_{f}").alias("e"), F.col("n").alias("n"))).over(prior), F.lit(0.0), lambda s, x: x["e"] + F.pow(F.lit(keep), x["n"].cast("double")) * s)
     carried = ends.select(key, "chunk", *[carry(f).alias(f"k_{f}") for f in features])

@@ -149,7 +149,7 @@ def fallback_summary() -> Column:
     return F.concat_ws(" ", F.concat(F.lit("service="), "service"), F.concat(F.lit("window="), utc("window_start"), F.lit("/"), utc("window_end")), *stats, F.concat(F.lit("count="), F.col("count").cast("string")))
 
 
-def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequence[str] = (), stopwords: Sequence[str] = (), pca_model: dict | None = None, ema_alpha: float = 0.0) -> DataFrame:
+def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequence[str] = (), stopwords: Sequence[str] = (), pca_model: dict | None = None, ema_alpha: float = 0.0, slot=None) -> DataFrame:
     """aggregates with vector, by labels.source: logs and traces as text, metrics as numbers, others by their summary."""
     source = F.coalesce(F.lower(F.col("labels")["source"]), F.lit(""))
     text = F.when(source == "logs", log_text(include)).when(source == "traces", trace_text()).when(source == "metrics", F.lit(None)).otherwise(F.coalesce(F.nullif("summary", F.lit("")), fallback_summary()))
@@ -160,7 +160,7 @@ def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequen
 
         names = [f"__x{i}" for i in range(8)]
         split = aggregates.withColumn("__f", numbers).withColumns({x: F.col("__f")[i] for i, x in enumerate(names)}).drop("__f")
-        out = exponential_average(split, "service", ["window_start"], names, ema_alpha).drop(*names)
+        out = exponential_average(split, "service", ["window_start"], names, ema_alpha, slot=slot).drop(*names)
         numbers = F.array(*[F.col(f"ema_{x}") for x in names])
     numeric = pca(numbers, pca_model).cast("array<float>")
     out = out.withColumns({"__text": fenced(text), "__numeric": fenced(numeric)})

@@ -2,7 +2,8 @@
 
 A Flow carries envelopes, typed metric points and aggregate rows side by side;
 each processor takes the rows it knows and passes the others on. One definition
-serves batch DataFrames and the micro-batches of a stream.
+serves batch DataFrames and the micro-batches of a stream; on a stream rows of open
+windows and totals by series and key are held over to the next micro-batch.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from telemill.filters.expressions import filter_aggregates, filter_envelopes
 from telemill.functions.columns import fenced
 from telemill.operators import forest, late_events, logs, metrics, otlp_logs, spans, vectors
 from telemill.plans.config import Component, Config, ConfigError
-from telemill.schema import KINDS
+from telemill.schema import ENVELOPE, KINDS
 from telemill.sinks import stores
 from telemill.sources import brokers, landing, otlp
+from telemill.streaming.held import Held, Slot
 
 
 @dataclass(frozen=True)
@@ -30,10 +33,18 @@ class Flow:
     kinds: dict[str, DataFrame]
     points: DataFrame | None = None
     aggregates: DataFrame | None = None
+    held: Held | None = None
 
     @staticmethod
-    def of(envelopes: DataFrame) -> Flow:
-        return Flow({k: envelopes.where(F.col("kind") == k) for k in KINDS})
+    def of(envelopes: DataFrame, held: Held | None = None) -> Flow:
+        return Flow({k: envelopes.where(F.col("kind") == k) for k in KINDS}, held=held)
+
+    def closed(self, name: str, rows: DataFrame, seconds: Column, window: int) -> DataFrame:
+        """The rows of whole windows: in batches all of them, on streams those of the windows that close now."""
+        return rows if self.held is None else self.held.closed(name, rows, seconds, window)
+
+    def slot(self, name: str) -> Slot | None:
+        return None if self.held is None else Slot(self.held, name)
 
     def with_kind(self, kind: str, rows: DataFrame | None) -> Flow:
         return replace(self, kinds={k: v for k, v in (self.kinds | {kind: rows}).items() if v is not None})
@@ -96,15 +107,16 @@ def _summarizer(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         cap, window = c.get("bucket_sample_cap", 50, int), _seconds(c)
         attribute = c.get("service_attribute", "service.name", str)
-        out = flow
+        out, nanos = flow, F.col("time_unix_nano") / 1_000_000_000
         if flow.points is not None:
-            out = out.with_aggregates(metrics.summarize_points(flow.points, window, cap, attribute, "traces"))
+            out = out.with_aggregates(metrics.summarize_points(flow.closed(f"{c.key}:traces", flow.points, nanos, window), window, cap, attribute, "traces"))
         if "metrics" in flow.kinds:
             decoded = otlp.decode_bodies(flow.kinds["metrics"], "bytes", "metrics")
-            out = out.with_aggregates(metrics.summarize_points(metrics.to_delta(decoded), window, cap, attribute, "metrics"))
+            whole = flow.closed(f"{c.key}:metrics", decoded, nanos, window)
+            out = out.with_aggregates(metrics.summarize_points(metrics.to_delta(whole, flow.slot(f"{c.key}:series")), window, cap, attribute, "metrics"))
         if "prom_rw" in flow.kinds:
             samples = otlp.decode_bodies(flow.kinds["prom_rw"], "bytes", "prom_rw")
-            out = out.with_aggregates(metrics.summarize_prometheus(samples, window, cap, c.get("service_label", "service.name", str)))
+            out = out.with_aggregates(metrics.summarize_prometheus(flow.closed(f"{c.key}:prom_rw", samples, F.col("ts_ms") / 1000, window), window, cap, c.get("service_label", "service.name", str)))
         return replace(out, points=None).with_kind("metrics", None).with_kind("prom_rw", None)
 
     return run
@@ -126,7 +138,7 @@ def _logsum(c: Component) -> Stage:
         }
         parsed = mine.select("ts_unix", fenced(logs.parse_object(F.col("bytes").cast("string"))).alias("v")).where("v IS NOT NULL")
         typed = parsed.select(*[fenced(x).alias(k) for k, x in read.items()])
-        return flow.with_kind("json_logs", None).with_aggregates(logs.summarize(typed, _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
+        return flow.with_kind("json_logs", None).with_aggregates(logs.summarize(flow.closed(c.key, typed, F.col("ts"), _seconds(c)), _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
 
     return run
 
@@ -137,7 +149,7 @@ def _iforest(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         if flow.aggregates is None:
             return flow
-        scored = forest.with_score(flow.aggregates, trees, tuple(c.get("features", forest.FEATURES)), c.get("normalization", "none", str), c.get("subsample", 256, int), threshold)
+        scored = forest.with_score(flow.aggregates, trees, tuple(c.get("features", forest.FEATURES)), c.get("normalization", "none", str), c.get("subsample", 256, int), threshold, flow.slot(c.key))
         return replace(flow, aggregates=scored)
 
     return run
@@ -149,7 +161,7 @@ def _vectorizer(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         if flow.aggregates is None:
             return flow
-        made = vectors.vectorize(flow.aggregates, c.get("hash_dim", 384, int), c.get("ngrams", 2, int), c.get("include_fields", []), c.get("stopwords", []), model, c.get("ema_alpha", 0.0, float))
+        made = vectors.vectorize(flow.aggregates, c.get("hash_dim", 384, int), c.get("ngrams", 2, int), c.get("include_fields", []), c.get("stopwords", []), model, c.get("ema_alpha", 0.0, float), flow.slot(c.key))
         return replace(flow, aggregates=made)
 
     return run
@@ -193,22 +205,58 @@ class Pipeline:
     stages: tuple[Stage, ...]
     writers: tuple[Callable[[DataFrame], object], ...]
 
-    def aggregates(self, envelopes: DataFrame) -> DataFrame | None:
+    def aggregates(self, envelopes: DataFrame, held: Held | None = None) -> DataFrame | None:
         """The aggregate rows of a batch of envelopes; rows that never became aggregates are left out."""
-        return reduce(lambda flow, stage: stage(flow), self.stages, Flow.of(envelopes)).aggregates
+        return reduce(lambda flow, stage: stage(flow), self.stages, Flow.of(envelopes, held)).aggregates
 
     def source(self, spark: SparkSession, streaming: bool = False) -> DataFrame:
         return landing.fan_in(*[_receive(spark, c, streaming) for c in self.receivers])
 
-    def run_batch(self, envelopes: DataFrame) -> None:
-        rows = self.aggregates(envelopes)
+    def run_batch(self, envelopes: DataFrame, held: Held | None = None) -> None:
+        rows = self.aggregates(envelopes, held)
         if rows is not None:
             stores.fan_out(rows, self.writers or (stores.noop_writer(),))
-
-    def run_stream(self, spark: SparkSession, checkpoint: str, trigger: dict | None = None):
-        """The pipeline over its receivers as a streaming query, a micro-batch at a time."""
+        if held is not None:
+            held.commit()
+
+    def close_windows(self, spark: SparkSession, checkpoint: str) -> None:
+        """Writes the windows that a stopped stream has left open; rows of theirs that come afterwards are late."""
+        held = Held(spark, checkpoint, None, 0.0, last=True)
+        if held.before is not None:
+            self.run_batch(spark.createDataFrame([], ENVELOPE), held)
+
+    def run_stream(self, spark: SparkSession, checkpoint: str, trigger: dict | None = None, lateness_seconds: float = 600.0) -> StreamRun:
+        """The pipeline over its receivers as a streaming query.
+
+        A window is written once, whole, when the newest time of its input has passed its end by lateness_seconds; later
+        rows of it are counted as late. Without a trigger the input ends with what is there now, and awaitTermination
+        closes all windows; with one, windows still open stay held for the next run on the same checkpoint.
+        """
         stream = self.source(spark, streaming=True)
-        return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(lambda df, _: self.run_batch(df)).start()
+        batch = lambda df, n: self.run_batch(df, Held(df.sparkSession, checkpoint, n, lateness_seconds))
+        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(batch).start()
+        return StreamRun(query, None if trigger else lambda: self.close_windows(spark, checkpoint))
+
+
+class StreamRun:
+    """A streaming query that closes the open windows once its input has ended."""
+
+    def __init__(self, query: StreamingQuery, at_end: Callable[[], None] | None):
+        self.query, self._at_end = query, at_end
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+    def stop(self) -> None:
+        self._at_end = None
+        self.query.stop()
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802 - as in StreamingQuery
+        ended = self.query.awaitTermination(timeout)
+        if ended is not False and self._at_end is not None:
+            at_end, self._at_end = self._at_end, None
+            at_end()
+        return ended
 
 
 def build(cfg: Config) -> dict[str, Pipeline]:
