@@ -393,6 +393,13 @@ def v7_l2(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) SELECT vec_id, i, round(embedding[i]::DOUBLE / n, 6) AS x FROM n")
+def v7_l2_whole(spark: SparkSession, d: str) -> DataFrame:
+    """v7_l2 over all components."""
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalise(F.col("embedding"))).alias("i", "x"))
+    return v.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
 _TOKENS_SQL = "t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-zA-Z0-9]+'), lambda x: x <> '') AS toks FROM documents)"
 
 
