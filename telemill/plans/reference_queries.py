@@ -355,6 +355,20 @@ def v3_trace_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("agg_id", vectors.trace_text().alias("text"))
 
 
+#: Fixed-point text of a measure: null as 0, NaN and infinite as Java writes them.
+_FIXED_SQL = "CASE WHEN isnan({0}) THEN 'NaN' WHEN isinf({0}) THEN if({0} > 0, 'Infinity', '-Infinity') ELSE printf('%.6f', round(coalesce({0}, 0), 6)) END"
+_LABELS_SQL = "nullif(array_to_string(list_transform(list_sort(map_entries(labels))[:8], lambda e: concat_ws('=', e.key, e.value)), ' '), '')"
+
+
+@query(
+    f"""SELECT agg_id, concat_ws(' ', 'kind=trace', 'service=' || service, {", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("p50", "p95", "p99", "rps", "error_rate"))},
+{_LABELS_SQL}, 'summary=' || nullif(summary, '')) AS text FROM aggregates"""
+)
+def v3_trace_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """v3_trace_text of every row: any labels, any measures."""
+    return table(spark, d, "aggregates").select("agg_id", vectors.trace_text().alias("text"))
+
+
 @query(
     f"""WITH {views.CLEAN_SQL} SELECT agg_id, concat_ws(' ', 'service=' || service, 'window=' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '/' || strftime(make_timestamp(window_end * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
 {", ".join(f"'{c}=' || printf('%.6f', round({c}, 6))" for c in ("rps", "error_rate", "p50", "p95", "p99"))}, 'count=' || count) AS text FROM agg"""
