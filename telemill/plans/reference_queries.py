@@ -401,6 +401,41 @@ def v6_pca(spark: SparkSession, d: str) -> DataFrame:
     return v.select("agg_id", F.round(F.col("p")[0], 6).alias("a"), F.round(F.col("p")[1], 6).alias("b"))
 
 
+# The same over every row of aggregates: null measures count as 0, NaN and infinite go on as they are.
+_WHOLE_SQL = "agg AS (SELECT agg_id, service, window_start, window_end, labels, summary, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("count", "rps", "error_rate", "p50", "p95", "p99")) + " FROM aggregates)"
+
+
+@query(
+    f"""WITH {_WHOLE_SQL} SELECT agg_id, concat_ws(' ', 'kind=log', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, 'env=' || labels['env'], 'source=' || labels['source'],
+'success=' || CASE WHEN error_rate > 0 THEN 'false' ELSE 'true' END, 'summary=' || nullif(summary, '')) AS text FROM agg"""
+)
+def v2_log_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "aggregates").select("agg_id", vectors.log_text(["source", "env", "success"]).alias("text"))
+
+
+@query(
+    f"""WITH {_WHOLE_SQL} SELECT agg_id, concat_ws(' ', 'service=' || service, 'window=' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '/' || strftime(make_timestamp(window_end * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
+{", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("rps", "error_rate", "p50", "p95", "p99"))}, 'count=' || count) AS text FROM agg"""
+)
+def v5_fallback_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "aggregates").select("agg_id", vectors.fallback_summary().alias("text"))
+
+
+@query(f"WITH {_WHOLE_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg) SELECT agg_id, i, round(v[i], 8) AS x FROM v, range(1, 9) r(i)")
+def v4_metric_vector_whole(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "aggregates").select("agg_id", F.posexplode(vectors.metric_features()).alias("i", "x"))
+    return v.select("agg_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 8).alias("x"))
+
+
+@query(
+    f"WITH {_WHOLE_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg), p AS (SELECT agg_id, [{_PCA_ROWS}] AS p FROM v) "
+    "SELECT agg_id, round(p[1] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS a, round(p[2] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS b FROM p"
+)
+def v6_pca_whole(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "aggregates").select("agg_id", vectors.pca(vectors.metric_features(), vectors.load_pca({"pca_inline": _PCA})).alias("p"))
+    return v.select("agg_id", F.round(F.col("p")[0], 6).alias("a"), F.round(F.col("p")[1], 6).alias("b"))
+
+
 @query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings) SELECT vec_id, i, round(embedding[i]::DOUBLE / n, 6) AS x FROM n, range(1, 9) r(i)")
 def v7_l2(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice(vectors.l2_normalise(F.col("embedding")), 1, 8)).alias("i", "x"))
@@ -452,7 +487,7 @@ def v11_hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def v1_vectorize(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors.vectorize(views.clean_aggregates(spark, d), include=["env"], pca_model=vectors.load_pca({"pca_inline": _PCA}))
+    rows = vectors.vectorize(table(spark, d, "aggregates"), include=["env"], pca_model=vectors.load_pca({"pca_inline": _PCA}))
     return rows.select("agg_id", F.col("labels")["source"].alias("source"), F.size("vector").alias("dim"), "vector")
 
 

@@ -30,3 +30,10 @@ def test_every_aggregate_has_its_trace_text(spark, sf, tmp_path):
     assert_same(got, connect(str(tmp_path / "d")), reference_queries.ORACLE_SQL["v3_trace_text_whole"])
     text = {r["agg_id"]: r["text"] for r in got.where("agg_id <= 5 AND text LIKE '%p50=0.000000%'").collect()}
     assert " k0=0 k1=1 k2=2 k3=3 k4=4 k5=5 k6=6 k7=7" in text[1] and "k8" not in text[1]
+
+
+def test_every_aggregate_has_its_vector_and_texts(spark, sf):
+    n = spark.read.parquet(f"{sf}/aggregates.parquet").count()
+    for name in ("v1_vectorize", "v2_log_text_whole", "v5_fallback_summary_whole", "v6_pca_whole"):
+        assert entry.queries()[name](spark, sf).select("agg_id").count() == n
+    assert entry.queries()["v4_metric_vector_whole"](spark, sf).count() == 8 * n
