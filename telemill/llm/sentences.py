@@ -163,12 +163,10 @@ CYRILLIC: list[_Rule] = [
     (False, r"(?<!\p{L})\p{Lu}\.$", rf"{_SP}\p{{Lu}}\p{{Ll}}"),
 ]
 _TABLES = {"east": EAST_ASIAN, "deva": DEVANAGARI, "thai": THAI, "cyrl": CYRILLIC, "latn": []}
-#: Characters before and after a candidate that rules may look at.
-_LOOK = 24
 
 
 def _compile(table: list[_Rule]) -> list[tuple[bool, object, object]]:
-    # Searched backwards, so that a pattern that ends at the position fails at once.
+    # Matched backwards from the position, so that a pattern that doesn't end there fails at once.
     return [(b, regex.compile("(?r)" + x) if x else None, regex.compile(y) if y else None) for b, x, y in table]
 
 
@@ -192,9 +190,9 @@ def script_of(masked: str) -> str:
 
 
 def _decide(rules: list, s: str, at: int) -> bool:
-    before, after = s[max(0, at - _LOOK) : at], s[at : at + _LOOK]
+    # On the whole part: comments, displays and footnotes keep their length, so no fixed look-around is enough.
     for breaks, b, a in rules:
-        if (b is None or b.search(before)) and (a is None or a.match(after)):
+        if (b is None or b.match(s, 0, at)) and (a is None or a.match(s, at)):
             return breaks
     return False
 
