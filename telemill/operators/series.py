@@ -64,10 +64,18 @@ def exponential_average(rows: DataFrame, key: str, order: list[str], features: l
     # Older rows than this weigh less than a double can tell.
     import math
 
-    back = 0 if keep == 0 else min(5000, math.ceil(math.log(1e-18) / math.log(keep)))
-    recent = w.rowsBetween(-back, 0)
+    back = 0 if keep == 0 else math.ceil(math.log(1e-18) / math.log(keep))
+    # Averages start anew in every part of a chunk; what stands before is carried in by the parts' ends.
+    size = min(max(back, 1), 512)
+    in_part = Window.partitionBy(key, "chunk", "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     fold = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: alpha * x + keep * s)
-    local = chunked.withColumn("pos", F.row_number().over(w)).withColumns({f"e_{f}": fold(F.collect_list(F.col(f).cast("double")).over(recent)) for f in features})
+    numbered = chunked.withColumn("__row", F.row_number().over(w)).withColumns({"__part": F.floor((F.col("__row") - 1) / size), "pos": (F.col("__row") - 1) % size + 1})
+    parts = numbered.withColumns({f"e_{f}": fold(F.collect_list(F.col(f).cast("double")).over(in_part)) for f in features})
+    part_ends = parts.groupBy(key, "chunk", "__part").agg(F.max("pos").alias("n"), *[F.max_by(f"e_{f}", "pos").alias(f"e_{f}") for f in features])
+    earlier = Window.partitionBy(key, "chunk").orderBy("__part").rowsBetween(-(back // size) - 2, -1)
+    before_part = lambda f: F.aggregate(F.collect_list(F.struct(F.col(f"e_{f}").alias("e"), F.col("n").alias("n"))).over(earlier), F.lit(0.0), lambda s, x: x["e"] + F.pow(F.lit(keep), x["n"].cast("double")) * s)
+    joined = parts.join(part_ends.select(key, "chunk", "__part", *[before_part(f).alias(f"b_{f}") for f in features]), [key, "chunk", "__part"])
+    local = joined.withColumns({f"e_{f}": F.col(f"e_{f}") + F.pow(F.lit(keep), F.col("pos").cast("double")) * F.col(f"b_{f}") for f in features}).withColumn("pos", F.col("__row"))
     ends = local.groupBy(key, "chunk").agg(F.max("pos").alias("n"), *[F.max_by(f"e_{f}", "pos").alias(f"e_{f}") for f in features])
     if slot is not None:
         before = slot.get()
