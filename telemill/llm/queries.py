@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm import distinct_counts, heavy_hitters, mixing, packing, sentences, similar_vectors, tokens
-from telemill.session import cut_lineage, table
+from telemill.session import all_rows, cut_lineage, table
 
 DIMS = ["service", "env", "operation"]
 #: Rows up to which a checked small table is broadcast; beyond, Spark joins by shuffle.
@@ -152,7 +152,7 @@ def _token_counts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame, packing.Plan]]:
     sizes = _token_counts(spark, sf_dir).where(F.col("doc_id").isNotNull())
-    names = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_sizes").where("capacity_tokens > 0").limit(100).collect()]
+    names = [(r["pack_name"], r["capacity_tokens"]) for r in all_rows(table(spark, sf_dir, "pack_sizes").where("capacity_tokens > 0"), 100)]
     return [(name, capacity, *packing.pack(sizes, "doc_id", "tokens", capacity)) for name, capacity in names]
 
 
@@ -181,7 +181,7 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens, repeats of every document of the mix."""
-    wanted = table(spark, sf_dir, "source_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats").limit(10_000).collect()
+    wanted = all_rows(table(spark, sf_dir, "source_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats"), 10_000)
     return mixing.mix(_token_counts(spark, sf_dir, "source"), "doc_id", "source", "tokens", [tuple(r) for r in wanted])
 
 

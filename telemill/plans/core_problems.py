@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators import late_events, regular_grid, schema_drift, spikes
-from telemill.session import cut_lineage, table
+from telemill.session import all_rows, cut_lineage, table
 
 
 def p3_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "raw_logs")
-    fields = [(r["field"], r["field_type"]) for r in table(spark, sf_dir, "log_fields").limit(1000).collect()]
+    fields = [(r["field"], r["field_type"]) for r in all_rows(table(spark, sf_dir, "log_fields"), 1000)]
     names = schema_drift.field_names(lines, _p5_changes(spark, sf_dir), [f for f, _ in fields])
     return schema_drift.unified_table(lines, cut_lineage(names), fields)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def build_session(app: str = "telemill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -41,3 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def all_rows(df: DataFrame, bound: int) -> list[Row]:
+    """Every row of a small table; an error if it has more than bound rows, so that none is left out silently."""
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} rows in a table of {', '.join(df.columns)}")
+    return rows
