@@ -178,7 +178,7 @@ def _receive(spark: SparkSession, c: Component, streaming: bool) -> DataFrame:
     if c.type == "jsonlogs" and "path" in c.options:
         return brokers.landing_lines(spark, c.options["path"], streaming, limit)
     if c.type in ("kafka", "jsonlogs"):
-        options = brokers.kafka_options(list(c.get("brokers", [])), c.get("topic", "", str), c.get("group", None, str), c.get("max_bytes", brokers.KAFKA_MAX_BYTES, int), c.get("max_offsets_per_trigger", None, int))
+        options = brokers.kafka_options(list(c.get("brokers", [])), c.get("topic", "", str), c.get("group", None, str), c.get("max_bytes", brokers.KAFKA_MAX_BYTES, int), c.get("max_offsets_per_trigger", None, int), c.get("fail_on_data_loss", True, bool))
         return brokers.broker_envelopes(brokers.read(spark, "kafka", options, streaming), kind, c.get("ndjson", c.type == "jsonlogs", bool))
     if c.type == "pulsar":
         options = brokers.pulsar_options(c.get("url", "", str), c.get("topic", "", str), c.get("subscription", "", str), c.get("subscription_type", "shared", str), c.get("token", None, str))

@@ -15,8 +15,9 @@ from telemill.sources.landing import attributes, split_lines, to_envelopes, with
 KAFKA_MAX_BYTES = 10 * 1024 * 1024
 
 
-def kafka_options(brokers: list[str], topic: str, group: str | None = None, max_bytes: int = KAFKA_MAX_BYTES, max_offsets: int | None = None) -> dict[str, str]:
-    out = {"kafka.bootstrap.servers": ",".join(brokers), "subscribe": topic, "includeHeaders": "true", "kafka.max.partition.fetch.bytes": str(max_bytes), "failOnDataLoss": "false"}
+def kafka_options(brokers: list[str], topic: str, group: str | None = None, max_bytes: int = KAFKA_MAX_BYTES, max_offsets: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the Kafka source; offsets that are gone end the query unless fail_on_data_loss is off."""
+    out = {"kafka.bootstrap.servers": ",".join(brokers), "subscribe": topic, "includeHeaders": "true", "kafka.max.partition.fetch.bytes": str(max_bytes), "failOnDataLoss": str(fail_on_data_loss).lower()}
     if group:
         out["kafka.group.id"] = group
     if max_offsets:
