@@ -1,22 +1,25 @@
-"""Most frequent items of a column in bounded memory: heavy-light split.
-
-Every partition keeps, per group, buckets of a few exact cells (item, positive
-votes) with a common count of negative votes, and a compact array of counters.
-An item that owns a cell adds to its votes; any other takes a free cell or
-votes against the bucket, and once the negative votes reach EVICT times the
-smallest cell, that cell's item is evicted into the counter array and the
-newcomer takes its place. Partitions merge bucket by bucket: votes of the same
-item add up, the largest cells stay, the rest falls into the added counters.
-The true count of an item lies between its votes and its votes plus its
-counter; the counter holds on average 1/COUNTERS of the group's rows.
-
-Memory of a task: groups in use x (BUCKETS x CELLS + COUNTERS) entries; when
-more than MAX_GROUPS groups are in use the oldest is written out early, which
-merges like another partition. Nothing grows with the number of different items
-or with a hot item.
-
-Defined results: null items count towards the group's total only; an empty
-input gives an empty result; ties are all returned.
+"""Most frequent items of columns in bounded memory: heavy-light split.
+
+Every part keeps, per group and column, buckets of a few exact cells (item,
+positive votes) with a common count of negative votes, and a compact array of
+counters. An item that owns a cell adds to its votes; any other takes a free
+cell or votes against the bucket, and once the negative votes reach EVICT times
+the smallest cell, that cell's item is evicted into the counter array and the
+newcomer takes its place. Parts merge bucket by bucket: votes of the same item
+add up, the largest cells stay, the rest falls into the added counters. The true
+count of an item lies between its votes and its votes plus its counter; the
+counter holds on average 1/COUNTERS of the group's rows.
+
+`place` puts the rows in order of their group, in ranges of equal size: a hot
+group is many ranges, and a range holds few groups. Inside a range the groups
+come one after the other, so a task has the sketch of one group at a time and
+writes BUCKETS x CELLS + COUNTERS entries a group at most, never more entries
+than rows. Nothing grows with the number of groups, of different items or with
+a hot item.
+
+Defined results: null items count towards the group's total only; rows with a
+null group are left out; an empty input gives an empty result; ties are all
+returned; rows that aren't placed give the same bounds from more parts.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
 CELLS = 4
 COUNTERS = 16_384
-CHUNK = 1024
 EVICT = 8
-MAX_GROUPS = 64
-_SCHEMA = "kind string, grp string, slot int, item string, hash long, votes long, counters array<long>"
+#: Rows that are counted together before they enter the sketch.
+BATCH = 65_536
+_TOTAL, _HEAVY, _LIGHT = 0, 1, 2
+_SCHEMA = "kind int, grp {grp}, field string, slot int, item string, hash long, votes long"
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -42,7 +47,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 class HeavyLight:
-    """The sketch of one group in one partition."""
+    """The sketch of one group and column in one part."""
 
     def __init__(self) -> None:
         self.key = np.zeros((BUCKETS, CELLS), np.int64)
@@ -86,65 +91,87 @@ class HeavyLight:
         self.against[b] = 0
         np.add.at(self.light, _slot(h[stays]), n[stays])
 
-    def rows(self, group: str) -> pa.RecordBatch:
+    def rows(self) -> list[tuple[np.ndarray, ...]]:
+        """(kind, slot, item, hash, votes) of the total, the cells and the counters in use."""
         b, c = np.nonzero(self.votes)
-        chunks = [(i, self.light[i * CHUNK : (i + 1) * CHUNK]) for i in range(COUNTERS // CHUNK)]
-        chunks = [(i, x.tolist()) for i, x in chunks if x.any()]
-        k = len(b)
-        return pa.RecordBatch.from_pydict(
-            {
-                "kind": ["total"] + ["heavy"] * k + ["light"] * len(chunks),
-                "grp": [group] * (1 + k + len(chunks)),
-                "slot": pa.array([0, *b.tolist(), *[i for i, _ in chunks]], pa.int32()),
-                "item": [None, *self.item[b, c].tolist(), *[None] * len(chunks)],
-                "hash": pa.array([0, *self.key[b, c].tolist(), *[0] * len(chunks)], pa.int64()),
-                "votes": pa.array([self.total, *self.votes[b, c].tolist(), *[0] * len(chunks)], pa.int64()),
-                "counters": pa.array([None] * (1 + k) + [x for _, x in chunks], pa.list_(pa.int64())),
-            }
-        )
-
-
-def _sketch_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    states: dict[str, HeavyLight] = {}
-    for batch in batches:
-        counted = pa.table(batch).group_by(["grp", "item"]).aggregate([("hash", "min"), ("hash", "count"), ("one", "sum")])
-        names = counted.column("grp").to_numpy(zero_copy_only=False)
-        items = counted.column("item").to_numpy(zero_copy_only=False)
-        hashes = counted.column("hash_min").fill_null(0).to_numpy()
-        counts = counted.column("one_sum").to_numpy().astype(np.int64)
-        some = counted.column("item").is_valid().to_numpy(zero_copy_only=False)
-        for g in dict.fromkeys(names.tolist()):
-            if g not in states and len(states) >= MAX_GROUPS:
-                old = next(iter(states))
-                yield states.pop(old).rows(old)
-            state = states.setdefault(g, HeavyLight())
-            here = names == g
-            state.total += int(counts[here].sum())
-            here &= some
-            state.add(hashes[here], counts[here], items[here])
-    for g, state in states.items():
-        yield state.rows(g)
-
-
-def sketch(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """Partial sketches of (group, item) rows; group is a string column, null items count for totals only."""
-    given = rows.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.when(F.col(item).isNotNull(), F.xxhash64(item)).alias("hash"), F.lit(1).alias("one")).where(F.col("grp").isNotNull())
-    return given.mapInArrow(_sketch_partition, _SCHEMA)
+        light = np.flatnonzero(self.light)
+        none = np.full(len(light), None, object)
+        return [
+            (np.full(1, _TOTAL), np.zeros(1, np.int64), np.full(1, None, object), np.zeros(1, np.int64), np.full(1, self.total)),
+            (np.full(len(b), _HEAVY), b, self.item[b, c], self.key[b, c], self.votes[b, c]),
+            (np.full(len(light), _LIGHT), light, none, np.zeros(len(light), np.int64), self.light[light]),
+        ]
+
+
+def place(rows: DataFrame, group: str, spread: Column) -> DataFrame:
+    """rows in ranges of equal size along their group, and in order of it; spread (any hash) divides a hot group."""
+    return rows.where(F.col(group).isNotNull()).withColumn("__spread", spread).repartitionByRange(group, "__spread").drop("__spread").sortWithinPartitions(group)
+
+
+def sketch(rows: DataFrame, group: str, items: str | list[str], placed: bool = False) -> DataFrame:
+    """Partial sketches of the items of every group, column by column (field). placed: the rows stand in order of their group."""
+    items = [items] if isinstance(items, str) else items
+    given = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), *[x for i, c in enumerate(items) for x in (F.col(c).cast("string").alias(f"item{i}"), F.xxhash64(F.col(c).cast("string")).alias(f"hash{i}"))])
+    given = given if placed else given.sortWithinPartitions("grp")
+    kind = given.schema["grp"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, states = None, [HeavyLight() for _ in items]
+        held: list[pa.RecordBatch] = []
+
+        def enter() -> None:
+            part = pa.Table.from_batches(held)
+            held.clear()
+            for i, state in enumerate(states):
+                state.total += part.num_rows
+                some = part.select([f"item{i}", f"hash{i}"]).filter(pc.is_valid(part.column(f"item{i}")))
+                if some.num_rows:
+                    counted = some.group_by(f"item{i}").aggregate([(f"hash{i}", "min"), (f"hash{i}", "count")])
+                    state.add(counted.column(f"hash{i}_min").to_numpy(), counted.column(f"hash{i}_count").to_numpy().astype(np.int64), counted.column(f"item{i}").to_numpy(zero_copy_only=False))
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for c, state in zip(items, states):
+                if state.total:
+                    parts = [np.concatenate(x) for x in zip(*state.rows())]
+                    n = len(parts[0])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(parts[0], pa.int32()), pa.repeat(grp, n), pa.repeat(c, n), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.string()), pa.array(parts[3], pa.int64()), pa.array(parts[4], pa.int64())],
+                        names=["kind", "grp", "field", "slot", "item", "hash", "votes"],
+                    )
+
+        for batch in batches:
+            start = 0
+            for end in pc.run_end_encode(batch.column(0)).run_ends.to_pylist():
+                here = batch.column(0)[start]
+                if grp is None or not here.equals(grp):
+                    if held:
+                        enter()
+                    yield from written()
+                    grp, states = here, [HeavyLight() for _ in items]
+                held.append(batch.slice(start, end - start))
+                if sum(x.num_rows for x in held) >= BATCH:
+                    enter()
+                start = end
+        if held:
+            enter()
+        yield from written()
+
+    return given.mapInArrow(run, _SCHEMA.format(grp=kind))
 
 
 def frequent_items(sketches: DataFrame) -> DataFrame:
-    """grp, item, at_least, at_most, total: the items that hold a cell after the merge."""
-    totals = sketches.where("kind = 'total'").groupBy("grp").agg(F.sum("votes").alias("total"))
-    heavy = sketches.where("kind = 'heavy'").groupBy("grp", "slot", "item", "hash").agg(F.sum("votes").alias("votes"))
-    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy("grp", "slot").orderBy(F.desc("votes"), "item")))
-    # hash >>> 24 is below 2^40 and so positive: the remainder is the same counter as in the partitions.
-    counter = F.pmod(F.shiftrightunsigned("hash", 24), F.lit(COUNTERS)).cast("int")
-    fallen = heavy.where(F.col("place") > CELLS).select("grp", counter.alias("counter"), F.col("votes").alias("n"))
-    light = sketches.where("kind = 'light'").select("grp", "slot", F.posexplode("counters").alias("i", "n")).where("n > 0").select("grp", (F.col("slot") * CHUNK + F.col("i")).alias("counter"), "n")
-    counters = light.unionByName(fallen).groupBy("grp", "counter").agg(F.sum("n").alias("n"))
-    kept = heavy.where(F.col("place") <= CELLS).withColumn("counter", counter)
+    """grp, field, item, at_least, at_most, total: the items that hold a cell after the merge. sketches should be cheap to read again."""
+    by = ["grp", "field"]
+    totals = sketches.where(F.col("kind") == _TOTAL).groupBy(*by).agg(F.sum("votes").alias("total"))
+    heavy = sketches.where(F.col("kind") == _HEAVY).groupBy(*by, "slot", "item", "hash").agg(F.sum("votes").alias("votes"))
+    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy(*by, "slot").orderBy(F.desc("votes"), "item")))
+    # hash >>> 24 is below 2^40 and so positive: the remainder is the same counter as in the parts.
+    ranked = heavy.withColumn("counter", F.pmod(F.shiftrightunsigned("hash", 24), F.lit(COUNTERS)).cast("int"))
+    fallen = ranked.where(F.col("place") > CELLS).select(*by, "counter", F.col("votes").alias("n"))
+    light = sketches.where(F.col("kind") == _LIGHT).select(*by, F.col("slot").alias("counter"), F.col("votes").alias("n"))
+    counters = light.unionByName(fallen).groupBy(*by, "counter").agg(F.sum("n").alias("n"))
     return (
-        kept.join(counters, ["grp", "counter"], "left")
-        .join(totals, "grp")
-        .select("grp", "item", F.col("votes").alias("at_least"), (F.col("votes") + F.coalesce("n", F.lit(0))).alias("at_most"), "total")
+        ranked.where(F.col("place") <= CELLS).join(counters, [*by, "counter"], "left")
+        .join(totals, by)
+        .select(*by, "item", F.col("votes").alias("at_least"), (F.col("votes") + F.coalesce("n", F.lit(0))).alias("at_most"), "total")
     )

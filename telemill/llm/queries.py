@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemill.llm import distinct_counts, heavy_hitters, mixing, packing, sentences, similar_vectors, tokens
-from telemill.session import all_rows, cut_lineage, table
+from telemill.session import all_rows, cut_lineage, stored, table
 
 DIMS = ["service", "env", "operation"]
 #: Rows up to which a checked small table is broadcast; beyond, Spark joins by shuffle.
@@ -92,46 +92,45 @@ def _recount(rows: DataFrame, wanted: DataFrame, combos: list[int], groups: list
 # 2. Most frequent items
 
 
-def _items(rows: DataFrame) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_day, endpoint, user_id of every log record as first delivered, in order of the day; rows without an id count each.
+
+    Written once: the sketch and the recount of its candidates read the same records.
+    """
     endpoint = F.substring_index(F.lower("endpoint"), "?", 1)
     endpoint = F.when(endpoint.endswith("/"), endpoint.substr(F.lit(1), F.length(endpoint) - 1)).otherwise(endpoint)
-    user = F.lower(F.trim("user_id"))
-    both = F.array(F.struct(F.lit("endpoint").alias("field"), _blank(endpoint).alias("item")), F.struct(F.lit("user_id").alias("field"), _blank(user).alias("item")))
-    return rows.withColumn("x", F.explode(both)).select(*[c for c in rows.columns if c not in ("endpoint", "user_id")], F.col("x.field").alias("field"), F.col("x.item").alias("item"))
+    raw = table(spark, sf_dir, "log_events").select(
+        "log_id", F.when(F.col("log_id").isNull(), F.monotonically_increasing_id()).alias("lone"), "ts_unix",
+        _day_number(_event_date()).cast("int").alias("event_day"), _blank(endpoint).alias("endpoint"), _blank(F.lower(F.trim("user_id"))).alias("user_id"),
+    )
+    # A window has one sort; an aggregate of structs would sort before and after its shuffle.
+    by_arrival = Window.partitionBy("log_id", "lone").orderBy("ts_unix", "event_day", "endpoint", "user_id")
+    first = raw.withColumn("copy", F.row_number().over(by_arrival)).where("copy = 1")
+    placed = heavy_hitters.place(first.select("event_day", "endpoint", "user_id", "log_id"), "event_day", F.xxhash64("log_id", "user_id", "endpoint"))
+    return stored(placed.select("event_day", "endpoint", "user_id"))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """log_events with each log_id once, as first delivered; rows without an id count each."""
-    kept = rows.select("log_id", F.struct("ts_unix", "event_ts", "endpoint", "user_id").alias("r"))
-    first = kept.where(F.col("log_id").isNotNull()).groupBy("log_id").agg(F.min("r").alias("r")).select("r.*")
-    return first.unionAll(kept.where(F.col("log_id").isNull()).select("r.*"))
+def _top_items(records: DataFrame) -> DataFrame:
+    """event_day, field, item, at_least, at_most, total of every item that may reach 1 percent of its day."""
+    sketches = stored(heavy_hitters.sketch(records, "event_day", ["endpoint", "user_id"], placed=True))
+    found = heavy_hitters.frequent_items(sketches).where(F.col("at_most") * 100 >= F.col("total"))
+    return found.withColumn("grp", F.col("grp").cast("long")).withColumnRenamed("grp", "event_day")
 
 
 def p2_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_day, field, item, at_least, at_most, total of every item that may reach 1 percent of its day."""
-    items = _items(_once(table(spark, sf_dir, "log_events")).select(_day_number(_event_date()).alias("event_day"), "endpoint", "user_id"))
-    sketches = heavy_hitters.sketch(items.withColumn("grp", F.concat_ws("|", "event_day", "field")), "grp", "item")
-    found = heavy_hitters.frequent_items(sketches).where(F.col("at_most") * 100 >= F.col("total"))
-    part = F.split("grp", r"\|")
-    return found.select(part[0].cast("long").alias("event_day"), part[1].alias("field"), "item", "at_least", "at_most", "total")
+    return _top_items(_records(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = _small(p2_top_items(spark, sf_dir))
+    records = _records(spark, sf_dir)
+    candidates = _small(_top_items(records))
     # The sketch bounds each count; an exact count of the candidates alone decides those near the limit.
-    raw = table(spark, sf_dir, "log_events")
-    wanted = candidates.select("field", "item").distinct()
-    hits = _items(raw.select("log_id", "ts_unix", "event_ts", "endpoint", "user_id")).join(F.broadcast(wanted) if _is_small(candidates) else wanted, ["field", "item"], "left_semi")
-    once = hits.where(F.col("log_id").isNotNull()).groupBy("log_id", "field", "item").agg(F.min("ts_unix").alias("ts_unix"), F.min("event_ts").alias("event_ts"))
-    once = once.unionByName(hits.where(F.col("log_id").isNull()))
-    counted = once.groupBy(_day_number(_event_date()).alias("event_day"), "field", "item").agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(F.struct(F.lit("endpoint").alias("field"), F.col("endpoint").alias("item")), F.struct(F.lit("user_id").alias("field"), F.col("user_id").alias("item")))
+    items = records.select(F.col("event_day").cast("long").alias("event_day"), F.inline(both)).where("item IS NOT NULL")
+    counted = items.join(candidates, ["event_day", "field", "item"], "left_semi").groupBy("event_day", "field", "item").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(candidates, ["event_day", "field", "item"]).where(F.col("n") * 100 >= F.col("total")).select("event_day", "field", "item")
 
 
-def _is_small(df: DataFrame) -> bool:
-    return df.count() <= BROADCAST_ROWS
-
-
 # 6. Similar vectors
 
 
