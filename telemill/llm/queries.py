@@ -139,7 +139,8 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors.close_pairs(p6_neighbours(spark, sf_dir).withColumnRenamed("vec_id", "id"), 0.9)
+    near = stored(p6_neighbours(spark, sf_dir).withColumnRenamed("vec_id", "id"))
+    return similar_vectors.close_pairs(near, 0.9, table(spark, sf_dir, "aggregate_vectors"), "vec_id", "vector")
 
 
 # 8. Packing
