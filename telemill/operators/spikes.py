@@ -2,25 +2,28 @@
 
 Each (source, field) series of logarithms follows a local-level state-space
 model whose observation noise is that source's own usual scatter. A Kalman
-filter forecasts reading by reading; an innovation above the threshold is
-flagged and withheld from the update, so a spike doesn't move the level. More
-than max_group successive flags are a change of level: the filter starts anew
-there and the flags are lifted. A stuck sensor shows as innovations of the
-random walk whose variance vanishes: at least stuck_len successive readings of
-exactly one value. Flagged spikes are then confirmed against the median of the
-unflagged readings around them.
+filter forecasts reading by reading; a standardised innovation above the
+threshold is flagged and withheld from the update, so a spike doesn't move the
+level. More than max_group successive flags are a change of level: the filter
+starts anew there and the flags are lifted. What stays flagged is judged by its
+two-sided innovation, against the forecast from before and the one that the same
+filter makes backwards from the unflagged readings after it. A stuck sensor
+shows in the innovations of the random walk on the values themselves: over
+stuck_len readings their variance vanishes.
 
 Scale: usual scatter comes from mergeable quantile sketches of the differences;
 the filter runs on chunks of one day of one source, each with the last and
 first `halo` readings of its neighbours, so no task ever sees more than a day
 of a source however hot it is, and results don't depend on the chunk bounds
-for runs and groups shorter than the halo.
+for runs and groups shorter than the halo. Readings are shuffled twice, to
+their chunk and to the tasks of their halos, and written once in between.
 
 Defined results: null and NaN are no readings; copies (same source and time)
 count once, the smallest tie-break id wins; rows without source or time are
-left out; series with fewer than three positive readings or without scatter
-get no spike flags; fields that never change get no stuck flags; an empty
-input gives an empty result; extra columns are ignored.
+left out; zeros have no logarithm: they take no part in the filter and are
+never spikes, but count for stuck runs; series with fewer than three positive
+readings or without scatter get no spike flags; fields that never change get no
+stuck flags; an empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +36,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.frames import frame
+from telemill.session import stored
 
-_LOG_FLOOR = math.log(1e-12)
 
+def kalman_flags(log_value: np.ndarray, minute: np.ndarray, sigma: float, drift: float, threshold: float, limit: float, max_group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Standardised innovation, flag, forecast and its variance for every reading of one series (all finite).
 
-def kalman_flags(log_value: np.ndarray, minute: np.ndarray, sigma: float, drift: float, threshold: float, max_group: int) -> tuple[np.ndarray, np.ndarray]:
-    """Standardised innovation and flag of every reading of one series (all finite)."""
+    The innovation is compared with its own scatter or, where a gap has made that large, with the limit.
+    """
     n = len(log_value)
-    z, flag = np.zeros(n), np.zeros(n, dtype=bool)
+    z, flag, forecast, variance = np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n), np.ones(n)
     r, q = sigma * sigma, drift * sigma * sigma
     level, p, last, run = float(np.median(log_value[:9])), r, minute[0] if n else 0, []
-    ys, ts = log_value.tolist(), minute.tolist()
+    ys, ts, most = log_value.tolist(), minute.tolist(), limit * sigma
     for i in range(n):
         y = ys[i]
         p_prior = min(p + q * max(1.0, ts[i] - last), 25 * r)
         s = p_prior + r
-        e = (y - level) / math.sqrt(s)
-        z[i] = e
-        if abs(e) > threshold:
+        e = y - level
+        z[i], forecast[i], variance[i] = e / math.sqrt(s), level, p_prior
+        if abs(e) > min(threshold * math.sqrt(s), most):
             flag[i] = True
             run.append(i)
             if len(run) > max_group:
@@ -59,30 +64,55 @@ def kalman_flags(log_value: np.ndarray, minute: np.ndarray, sigma: float, drift:
                 run = []
             continue
         gain = p_prior / s
-        level += gain * (y - level)
+        level += gain * e
         p, last, run = (1 - gain) * p_prior, ts[i], []
-    return z, flag
+    return z, flag, forecast, variance
 
 
-def confirm(log_value: np.ndarray, flag: np.ndarray, sigma: float, limit: float, around: int) -> np.ndarray:
-    """Deviation, in usual scatters, of every flagged reading from the median of the unflagged ones around it."""
+def two_sided(log_value: np.ndarray, minute: np.ndarray, flag: np.ndarray, forecast: np.ndarray, variance: np.ndarray, sigma: float, drift: float, ahead: int) -> np.ndarray:
+    """Deviation, in usual scatters, of every flagged reading from the forecasts of both directions.
+
+    Backwards the filter runs over the next `ahead` unflagged readings; older ones have no weight left by then.
+    """
     out = np.zeros(len(log_value))
+    r, q = sigma * sigma, drift * sigma * sigma
     plain = np.flatnonzero(~flag)
-    for i in np.flatnonzero(flag):
-        at = np.searchsorted(plain, i)
-        near = plain[max(0, at - around) : at + around]
-        if len(near) >= 3:
-            out[i] = (log_value[i] - np.median(log_value[near])) / sigma
+    ys, ts = log_value.tolist(), minute.tolist()
+    for i in np.flatnonzero(flag).tolist():
+        at = int(np.searchsorted(plain, i))
+        after = plain[at : at + ahead].tolist()[::-1]
+        if at + len(after) < 3:
+            continue
+        level, weight = 0.0, 0.0
+        if at:
+            weight = 1 / variance[i]
+            level = forecast[i] * weight
+        if after:
+            back, p, last = ys[after[0]], r, ts[after[0]]
+            for j in after[1:]:
+                p_prior = min(p + q * max(1.0, last - ts[j]), 25 * r)
+                gain = p_prior / (p_prior + r)
+                back += gain * (ys[j] - back)
+                p, last = (1 - gain) * p_prior, ts[j]
+            p = min(p + q * max(1.0, last - ts[i]), 25 * r)
+            level, weight = level + back / p, weight + 1 / p
+        out[i] = (ys[i] - level / weight) / sigma
     return out
 
 
-def equal_runs(value: np.ndarray) -> np.ndarray:
-    """Length of the run of exactly equal successive values that each value is in."""
-    if not len(value):
-        return np.zeros(0, dtype=np.int64)
-    start = np.r_[True, value[1:] != value[:-1]]
-    run = np.cumsum(start) - 1
-    return np.bincount(run)[run]
+def stuck_readings(value: np.ndarray, length: int) -> np.ndarray:
+    """Readings in a stretch of at least `length` over which the innovations of the random walk have no variance."""
+    out = np.zeros(len(value), dtype=bool)
+    if len(value) < length or length < 2:
+        return out
+    with np.errstate(invalid="ignore", over="ignore"):
+        e = np.diff(value)
+        largest = np.max(np.abs(e), where=np.isfinite(e), initial=0.0) or 1.0
+        square = np.where(e == 0, 0.0, np.maximum(np.nan_to_num(np.abs(e) / largest, nan=1.0), 1e-150) ** 2)
+    still = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(square, length - 1).max(axis=1) == 0)
+    for shift in range(length):
+        out[still + shift] = True
+    return out
 
 
 def flag_readings(
@@ -99,7 +129,7 @@ def flag_readings(
     limit: float = 6.0,
     max_group: int = 4,
     stuck_len: int = 10,
-    around: int = 8,
+    ahead: int = 24,
 ) -> DataFrame:
     """The flagged readings: source, time, field, value, impossible, stuck, spike, innovation, deviation.
 
@@ -109,18 +139,21 @@ def flag_readings(
     valid = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
     once = (
         readings.where(F.col(source).isNotNull() & F.col(time).isNotNull())
-        .groupBy(F.col(source).alias("source"), F.col(time).cast("long").alias("time"))
-        .agg(*[F.min_by(F.col(f).cast("double"), F.when(valid(f), F.coalesce(F.col(tie), F.lit(2**62)))).alias(f) for f in [*fields, *carry]])
+        .select(F.col(source).alias("source"), F.col(time).cast("long").alias("time"), F.col(tie).alias("tie"), *[F.col(f).cast("double").alias(f"f_{f}") for f in [*fields, *carry]])
         .withColumn("chunk", F.floor(F.col("time") / chunk_s))
+        # The chunk's place serves the copies and the ranks alike.
+        .repartition("source", "chunk")
+        .groupBy("source", "chunk", "time")
+        .agg(*[F.min_by(f"f_{f}", F.when(valid(f"f_{f}"), F.coalesce(F.col("tie"), F.lit(2**62)))).alias(f) for f in [*fields, *carry]])
         .withColumns({f"bad_{f}": F.when(F.col(f).isNotNull(), F.coalesce(impossible[f] | (F.abs(f) == float("inf")), F.lit(False))) for f in fields})
         .drop(*carry)
     )
     in_chunk = Window.partitionBy("source", "chunk").orderBy("time")
-    from_end = Window.partitionBy("source", "chunk").orderBy(F.col("time").desc())
     good_log = lambda f: F.when(~F.col(f"bad_{f}") & (F.col(f) > 0), F.ln(f))
     ranked = once.withColumns(
-        {"rank": F.row_number().over(in_chunk)} | {f"step_{f}": F.abs(good_log(f) - F.lag(good_log(f)).over(in_chunk)) for f in fields}
-    ).withColumn("rank_end", F.row_number().over(from_end))
+        {"rank": F.row_number().over(in_chunk), "rank_end": F.count(F.lit(1)).over(Window.partitionBy("source", "chunk"))} | {f"step_{f}": F.abs(good_log(f) - F.lag(good_log(f)).over(in_chunk)) for f in fields}
+    ).withColumn("rank_end", F.col("rank_end") - F.col("rank") + 1)
+    ranked = stored(ranked)
 
     # Per source: usual scatter (median absolute step of the logarithms) and whether a field ever changes.
     usual = ranked.groupBy("source").agg(
@@ -160,13 +193,13 @@ def flag_readings(
             value, at, core = pdf[f].to_numpy(dtype=np.float64)[have], time_all[have], core_all[have]
             bad = pdf[f"bad_{f}"].to_numpy()[have].astype(bool)
             sd, varies = float(pdf[f"sigma_{f}"].iloc[0]), bool(pdf[f"varies_{f}"].iloc[0] or False)
-            stuck = (equal_runs(value) >= stuck_len) & varies
+            stuck = stuck_readings(value, stuck_len) & varies
             z, deviation, spike = np.zeros(len(value)), np.zeros(len(value)), np.zeros(len(value), dtype=bool)
-            ok = np.flatnonzero(~bad)
+            ok = np.flatnonzero(~bad & (value > 0))
             if sd > 0 and len(ok) >= 3:
-                logs = np.where(value[ok] > 0, np.log(np.where(value[ok] > 0, value[ok], 1.0)), _LOG_FLOOR)
-                z[ok], flag = kalman_flags(logs, at[ok] / 60.0, sd, drift, threshold, max_group)
-                deviation[ok] = confirm(logs, flag, sd, limit, around)
+                logs, minute = np.log(value[ok]), at[ok] / 60.0
+                z[ok], flag, *forecast = kalman_flags(logs, minute, sd, drift, threshold, limit, max_group)
+                deviation[ok] = two_sided(logs, minute, flag, *forecast, sd, drift, ahead)
                 spike = np.abs(deviation) > limit
             hit = (bad | stuck | spike) & core
             parts.append((at[hit], np.full(hit.sum(), f, dtype=object), value[hit], bad[hit], stuck[hit], spike[hit], z[hit], deviation[hit]))

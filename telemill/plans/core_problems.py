@@ -48,6 +48,14 @@ def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.withColumnRenamed("source", "service").withColumnRenamed("time", "window_start")
 
 
+def p7_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_flags(spark, sf_dir).where("impossible").select("service", "window_start", "field")
+
+
+def p7_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_flags(spark, sf_dir).where("stuck").select("service", "window_start", "field")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_flags(spark, sf_dir).select("service", "window_start", "field")
 
@@ -65,7 +73,16 @@ r AS (SELECT rid, service, arrival, coalesce(event, arrival) AS event FROM (SELE
 c AS (SELECT service, event - event % 300 AS window_start, greatest(0, (arrival - (event - event % 300) - 300) // 120) AS arrival_period, count(*) AS new_records
       FROM r WHERE arrival - event <= 3600 GROUP BY ALL)"""
 
+_READINGS_SQL = """a AS (SELECT *, row_number() OVER (PARTITION BY service, window_start, f ORDER BY agg_id) AS copy FROM (
+  SELECT agg_id, service, window_start, f, v, p50 FROM (SELECT agg_id, service, window_start, p50, unnest(['rps', 'error_rate', 'p99']) AS f, unnest([rps, error_rate, p99]) AS v FROM aggregates WHERE service IS NOT NULL AND window_start IS NOT NULL) WHERE v IS NOT NULL AND NOT isnan(v))),
+p AS (SELECT service, window_start, arg_min(p50, agg_id) AS p50 FROM aggregates WHERE p50 IS NOT NULL AND NOT isnan(p50) GROUP BY ALL),
+m AS (SELECT a.service, a.window_start, f AS field, v, coalesce(isinf(v) OR v < 0 OR (f = 'error_rate' AND v > 1) OR (f = 'p99' AND v < p.p50), false) AS bad FROM a LEFT JOIN p USING (service, window_start) WHERE copy = 1)"""
+
 ORACLE_SQL = {
+    "p7_impossible": f"WITH {_READINGS_SQL} SELECT service, window_start, field FROM m WHERE bad",
+    "p7_stuck": f"""WITH {_READINGS_SQL}, s AS (SELECT *, v IS DISTINCT FROM lag(v) OVER w AS fresh FROM m WINDOW w AS (PARTITION BY service, field ORDER BY window_start)),
+        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY service, field ORDER BY window_start) AS run FROM s), n AS (SELECT *, count(*) OVER (PARTITION BY service, field, run) AS len FROM g),
+        c AS (SELECT service, field FROM m WHERE NOT bad GROUP BY ALL HAVING min(v) < max(v)) SELECT service, window_start, field FROM n JOIN c USING (service, field) WHERE len >= 10""",
     "p3_found": f"WITH {_RECORDS_SQL} SELECT DISTINCT service, window_start FROM c WHERE arrival_period >= 1",
     "p3_revisions": f"""WITH {_RECORDS_SQL} SELECT service, window_start, window_start + 300 AS window_end, arrival_period, new_records, sum(new_records) OVER w ::BIGINT AS records, row_number() OVER w AS revision,
         lead(arrival_period) OVER w IS NULL AS is_final FROM c WINDOW w AS (PARTITION BY service, window_start ORDER BY arrival_period)""",
@@ -74,4 +91,4 @@ ORACLE_SQL = {
         SELECT service, slot_start FROM s ANTI JOIN (SELECT service, slot AS slot_start FROM m WHERE good) USING (service, slot_start)""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_revisions, p4_found, p4_grid, p5_found, p5_table, p7_found, p7_flags)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_revisions, p4_found, p4_grid, p5_found, p5_table, p7_found, p7_flags, p7_impossible, p7_stuck)}
