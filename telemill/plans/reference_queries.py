@@ -510,6 +510,44 @@ def f3_fail_open(spark: SparkSession, d: str) -> DataFrame:
     return filter_aggregates(table(spark, d, "aggregates"), expression).select("agg_id")
 
 
+_BODY_SQL = """b AS (SELECT envelope_id, trim(try(decode(bytes))) AS t FROM envelopes), j AS (SELECT envelope_id, CASE WHEN starts_with(t, '{') THEN try_cast(t AS JSON) END AS j FROM b)"""
+
+
+@query(f"""WITH {_BODY_SQL} SELECT envelope_id FROM j WHERE coalesce(CASE WHEN json_type(j->'latency_ms') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (j->>'latency_ms')::DOUBLE > 100 END OR CASE WHEN json_exists(j, '$.level') THEN coalesce(json_type(j->'level') = 'VARCHAR' AND j->>'level' = 'error', false) END, true)""")
+def f1_log_number(spark: SparkSession, d: str) -> DataFrame:
+    return filter_envelopes(table(spark, d, "envelopes"), 'log.latency_ms > 100 || log.level == "error"', on="logs").select("envelope_id")
+
+
+def _line_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_logs").select("feed", "file_no", "line_no", F.lit("json_logs").alias("kind"), F.col("raw").cast("binary").alias("bytes"), F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(0).cast("long").alias("ts_unix"))
+
+
+_LINES_SQL = "l AS (SELECT feed, file_no, line_no, CASE WHEN starts_with(trim(raw), '{') THEN try_cast(raw AS JSON) END AS j FROM raw_logs)"
+
+
+@query(f"""WITH {_LINES_SQL} SELECT feed, file_no, line_no FROM l WHERE coalesce(CASE WHEN json_type(j->'service') = 'OBJECT' AND json_exists(j, '$.service.name') THEN (j->'service'->>'name') LIKE 'l%' END, true)""")
+def f1_log_nested(spark: SparkSession, d: str) -> DataFrame:
+    return filter_envelopes(_line_envelopes(spark, d), 'log.service.name.startsWith("l")', on="logs").select("feed", "file_no", "line_no")
+
+
+@query(f"""WITH {_LINES_SQL} SELECT feed, file_no, line_no FROM l WHERE coalesce(CASE WHEN json_type(j->'tags') = 'ARRAY' THEN len(list_filter(CAST(j->'tags' AS VARCHAR[]), lambda t: t = 'edge' OR starts_with(t, 're'))) > 0 END, true)""")
+def f1_log_macro(spark: SparkSession, d: str) -> DataFrame:
+    return filter_envelopes(_line_envelopes(spark, d), 'log.tags.exists(t, t == "edge" || t.startsWith("re"))', on="logs").select("feed", "file_no", "line_no")
+
+
+#: Expressions that fail on some or all rows, and the SQL of what they keep.
+_FAILURES = (
+    ("kind in [1, 2]", "false"), ("attrs.env.size() > 3", "coalesce(length(attrs['env']) > 3, true)"), ("kind.http.status == 500", "true"),
+    ('nothing > 1 && attrs.env == "prod"', "coalesce(attrs['env'] = 'prod', true)"), ('nothing > 1 || attrs.env == "prod"', "true"), ("ts_unix / 0 == 1 && ts_unix > 1709520000", "coalesce(ts_unix > 1709520000, true)"),
+    ('kind.matches("[")', "true"), ("kind < 5", "true"), ("((", "true"), ("unknown(kind) || kind == \"traces\"", "true"), ("ts_unix + 1.5 > 0.0", "true"), ("kind", "true"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS expression, envelope_id FROM envelopes WHERE {sql}" for i, (_, sql) in enumerate(_FAILURES)))
+def f3_failures(spark: SparkSession, d: str) -> DataFrame:
+    return landing.fan_in(*[filter_envelopes(table(spark, d, "envelopes"), text).select(F.lit(i).alias("expression"), "envelope_id") for i, (text, _) in enumerate(_FAILURES)])
+
+
 @query("SELECT agg_id FROM aggregates")
 def f4_keep_all(spark: SparkSession, d: str) -> DataFrame:
     a = filter_aggregates(table(spark, d, "aggregates"), "error_rate > 0.05", drop_non_matching=False)

@@ -40,7 +40,31 @@ def kept(df, expression):
         ('service.startsWith("a") && service.size() >= 0', {1, 3, 4}),
         ('service.matches("^a.$")', {3, 4}),
         ('service + "x" == "ax"', {1, 3}),
-        ('service == 5', {1, 2, 3, 4}),  # different types
+        ("service == 5", {3}),  # values of different types aren't equal; the null is a failure
+        ("service != 5", {1, 2, 3, 4}),
+        ("service < 5", {1, 2, 3, 4}),  # but they have no order
+        ("count * 1.5 > 0.0", {1, 2, 3, 4}),  # ints and doubles don't mix in arithmetic
+        ("count / 4 == 2", {1, 2}),  # ints divide towards zero
+        ("-7 / 2 == -3 && 7 % 4 == 3", {1, 2, 3, 4}),
+        ("score / 0.0 > 1.0", {1, 2}),  # doubles divide by zero
+        ("count in [1, 2]", {2}),
+        ('id in ["a", 2]', {2}),
+        ("service in [1, 2]", {3}),
+        ('attrs.env.size() > 3', {1, 2, 4}),
+        ('no_such_name > 1 && attrs.env == "prod"', {1, 2, 4}),
+        ('no_such_name > 1 || attrs.env == "prod"', {1, 2, 3, 4}),
+        ("service.http.status == 500", {1, 2, 3, 4}),
+        ('service.matches("[") || false', {1, 2, 3, 4}),
+        ("no_such(service) && id > 2", {3, 4}),
+        ('attrs.exists(k, k == "x")', {3, 4}),
+        ("attrs.all(k, attrs[k].size() > 1)", {1, 2, 4}),
+        ("[1, 2, 3].exists_one(i, i == id)", {1, 2, 3}),
+        ("[1, 2, 3, 4].filter(i, i > id).size() == 2", {2}),
+        ("[1, 2].map(i, i * 2).exists(j, j == id)", {2, 4}),
+        ("[1, 2, 3].map(i, i > 1, i + 1) == [3, 4]", {1, 2, 3, 4}),
+        ("id > 2 ? score : service == 5", {3, 4}),
+        ("0x10 == 16 && r\"\\d\" == \"\\\\d\" && null == null && 1 == 1.0", {1, 2, 3, 4}),
+        ("9223372036854775807 + id > 0", {1, 2, 3, 4}),
         ("service", {1, 2, 3, 4}),  # not boolean
         ("1 + 1", {1, 2, 3, 4}),
         ("no_such_name > 1", {1, 2, 3, 4}),
@@ -67,6 +91,50 @@ def test_environments(spark):
     assert filter_aggregates(e, "ts_unix < 6").count() == 1
 
 
+LOGS = {
+    1: '{"latency_ms":5,"ok":true,"http":{"status":500,"tags":["a","b"]},"n":null,"name":"x"}', 2: '{"latency_ms":500,"ok":false,"http":{"status":200,"tags":[]}}',
+    3: '{"latency_ms":"500","ok":"true","http":"none"}', 4: "not json", 5: "[1]", 6: "{}",
+}
+
+
+@pytest.mark.parametrize(
+    "expression,want",
+    [
+        ("log.latency_ms > 100", {2, 3, 4, 5, 6}),
+        ("log.latency_ms == 5", {1, 4, 5, 6}),
+        ("log.latency_ms * 2.0 > 100.0", {2, 3, 4, 5, 6}),
+        ("log.ok == true", {1, 4, 5, 6}),
+        ("log.ok", {1, 3, 4, 5, 6}),  # a text isn't boolean
+        ("log.http.status == 500", {1, 3, 4, 5, 6}),
+        ('log["http"]["tags"][0] == "a"', {1, 2, 3, 4, 5, 6}),
+        ('log.http.tags.exists(t, t == "b")', {1, 3, 4, 5, 6}),
+        ('"a" in log.http.tags', {1, 3, 4, 5, 6}),
+        ("log.http.tags.size() == 2 && size(log) == 5", {1}),
+        ("has(log.n) && log.n == null", {1}),
+        ("has(log.http.status)", {1, 2, 3, 4, 5, 6}),
+        ('log.name + "y" == "xy"', {1, 2, 3, 4, 5, 6}),
+        ('log.exists(k, k.startsWith("lat"))', {1, 2, 3}),
+        ("log.http == log.http", {1, 2, 3, 4, 5, 6}),
+        ("log.latency_ms != log.ok", {1, 2, 3, 4, 5, 6}),
+        ("log.latency_ms == log.ok", {4, 5, 6}),
+        ("string(log.latency_ms) == \"5\" || int(log.latency_ms) == 500", {1, 2, 3, 4, 5, 6}),
+        ("kind == \"json_logs\"", {1, 2, 3, 4, 5, 6}),  # not a name of logs
+        ("ts_unix > 3", {4, 5, 6}),
+    ],
+)
+def test_logs(spark, expression, want):
+    e = spark.createDataFrame([("json_logs", bytearray(t.encode()), None, i) for i, t in LOGS.items()], "kind string, bytes binary, attrs map<string,string>, ts_unix long")
+    assert {r["ts_unix"] for r in filter_envelopes(e, expression, on="logs").collect()} == want
+
+
+def test_other_environments(spark):
+    e = spark.createDataFrame([("traces", bytearray(b"x"), {"env": "prod"}, 5), ("metrics", None, None, 9)], "kind string, bytes binary, attrs map<string,string>, ts_unix long")
+    kept = lambda text, on: {r["ts_unix"] for r in filter_envelopes(e, text, on=on).collect()}
+    assert kept('span_name == "" && duration_ms == 0.0 && size(attributes) == 0 && kind == "traces"', "traces") == {5}
+    assert kept('item.kind == "traces" && item.attrs.env == "prod" && item.ts_unix < 6', "spans") == {5}
+    assert kept("size(resource) + size(labels) == 0 && ts_unix > 6", "metrics") == {9}
+
+
 NAMES = {"a": [True, False, None], "b": [True, False, None]}
 trees = st.recursive(
     st.sampled_from([("name", "a"), ("name", "b"), ("lit", True), ("lit", False)]),
