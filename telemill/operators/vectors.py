@@ -2,7 +2,7 @@
 
 Defined results: null texts give zero vectors; null measures count as 0 in
 numeric features; a zero vector stays as it is; a PCA whose columns don't match
-leaves the features as they are.
+is not applied; empty labels are left out of texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.columns import fenced, fixed
+from telemill.functions.columns import fenced, fixed, non_blank
 
 _OFFSET, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, 0xFFFFFFFFFFFFFFFF
 
@@ -36,9 +37,35 @@ def fnv1_64(data: bytes) -> int:
     return h
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-zA-Z0-9]+"), lambda t: t != "")
+#: What the components leave out or include unless told otherwise.
+STOPWORDS = ("the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "with")
+LOG_FIELDS = ("org_id", "success", "error_code")
+TRACE_ATTRIBUTES = ("http.method", "http.route", "status.code", "span.kind")
+
+
+def _hashes(words: pa.Array, prefix: bytes, xor_first: bool) -> np.ndarray:
+    """64-bit FNV-1a (xor_first) or FNV-1 of every word, byte position by byte position over all words at once."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1 + words.offset)[words.offset :]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    by_size = np.argsort(-size, kind="stable")
+    start, size = offsets[:-1][by_size], size[by_size]
+    prime = np.uint64(_PRIME)
+    first = np.uint64(fnv1a64(prefix) if xor_first else fnv1_64(prefix))
+    h = np.full(len(words), first, np.uint64)
+    for at in range(int(size[0]) if len(size) else 0):
+        k = int(np.searchsorted(-size, -at, side="left"))  # words longer than at
+        byte = data[start[:k] + at].astype(np.uint64)
+        h[:k] = (h[:k] ^ byte) * prime if xor_first else (h[:k] * prime) ^ byte
+    out = np.empty_like(h)
+    out[by_size] = h
+    return out
+
+
+def tokens(text: Column, lowercase: bool = True) -> Column:
+    """Runs of ASCII letters and digits, in lower case unless told otherwise."""
+    given = F.coalesce(text, F.lit(""))
+    return F.array_remove(F.split(F.lower(given), "[^a-z0-9]+") if lowercase else F.split(given, "[^a-zA-Z0-9]+"), "")
 
 
 def ngrams(toks: Column, n: int, stopwords: Sequence[str] = ()) -> Column:
@@ -54,25 +81,31 @@ def ngrams(toks: Column, n: int, stopwords: Sequence[str] = ()) -> Column:
 
 
 def hash_terms(terms: Column, dim: int = 384, unit: bool = False) -> Column:
-    """array<int> of the signed term counts by hashed index; with unit, array<float> of length 1."""
-
-    @F.pandas_udf("array<float>" if unit else "array<int>")
-    def embed(batch: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, int]] = {}
-        out = []
-        for row in batch:
-            v = np.zeros(dim, np.int32)
-            for t in row if row is not None else ():
-                at = known.get(t)
-                if at is None:
-                    raw = t.encode()
-                    at = known[t] = (fnv1a64(raw) % dim, -1 if fnv1_64(b"sign:" + raw) & 1 else 1)
-                v[at[0]] += at[1]
+    """array<int> of the signed term counts by hashed index; with unit, array<float> of length 1.
+
+    The different terms of a batch are hashed once; counting is one weighted histogram.
+    """
+
+    @F.arrow_udf("array<float>" if unit else "array<int>")
+    def embed(batch: pa.Array) -> pa.Array:
+        lengths = np.asarray(batch.value_lengths().fill_null(0), np.int64)
+        found = batch.flatten().cast(pa.large_string()).dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary())
+        index = (_hashes(words, b"", True) % np.uint64(dim)).astype(np.int64)
+        sign = 1 - 2 * (_hashes(words, b"sign:", False) & np.uint64(1)).astype(np.int64)
+        codes = found.indices.to_numpy(zero_copy_only=False)
+        counts = np.zeros((len(batch), dim), np.float32 if unit else np.int32)
+        step, ends = max(1, 4_000_000 // dim), np.r_[0, np.cumsum(lengths)]
+        for lo in range(0, len(batch), step):
+            hi = min(lo + step, len(batch))
+            here = codes[ends[lo] : ends[hi]]
+            row = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            v = np.bincount(row * dim + index[here], weights=sign[here], minlength=(hi - lo) * dim).reshape(-1, dim)
             if unit:
-                size = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-                v = (v / size if size else v).astype(np.float32)
-            out.append(v)
-        return pd.Series(out)
+                size = np.sqrt((v * v).sum(1, keepdims=True))
+                v = v / np.where(size > 0, size, 1.0)
+            counts[lo:hi] = v
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(counts.ravel()))
 
     return embed(terms)
 
@@ -83,27 +116,29 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def hash_embedding(text: Column, dim: int = 384, n: int = 2, stopwords: Sequence[str] = ()) -> Column:
+def hash_embedding(text: Column, dim: int = 384, n: int = 2, stopwords: Sequence[str] = (), lowercase: bool = True) -> Column:
     """Unit vector (array<float>) of the signed, hashed 1..n-grams of a text."""
-    return hash_terms(ngrams(tokens(text), n, stopwords), dim, unit=True)
+    return hash_terms(ngrams(tokens(text, lowercase), n, stopwords), dim, unit=True)
 
 
-def metric_features() -> Column:
-    """[p50, p90, p95, p99, rps, error_rate, error_rate * count, count per second of the window]."""
+def metric_features(p90_approx: bool = True) -> Column:
+    """[p50, p90, p95, p99, rps, error_rate, error_rate * count, count per second of the window]; p90 between p50 and p95, or p95."""
     c = {n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in ("p50", "p95", "p99", "rps", "error_rate", "count")}
-    p90 = F.when((c["p50"] > 0) & (c["p95"] > 0), (c["p50"] + c["p95"]) / 2).otherwise(c["p95"])
-    return F.array(c["p50"], p90, c["p95"], c["p99"], c["rps"], c["error_rate"], c["error_rate"] * c["count"], c["count"] / (1 + F.greatest(F.col("window_end") - F.col("window_start"), F.lit(0))))
+    p90 = (c["p50"] + c["p95"]) / 2 if p90_approx else c["p95"]
+    return F.array(c["p50"], p90, c["p95"], c["p99"], c["rps"], c["error_rate"], c["error_rate"] * c["count"], F.try_divide(c["count"], 1 + F.col("window_end") - F.col("window_start")))
 
 
 def load_pca(options: dict[str, Any]) -> dict | None:
-    """rows, cols, data, center, scale from pca_inline, else pca_path; None unless the sizes are right."""
-    got = None
+    """rows, cols, data, center, scale from matrix_inline, else matrix_path; None unless the sizes are right.
+
+    pca_inline and pca_path are other names of the two.
+    """
+    got, inline, path = None, options.get("matrix_inline") or options.get("pca_inline"), options.get("matrix_path") or options.get("pca_path")
     try:
-        if options.get("pca_inline"):
-            x = options["pca_inline"]
-            got = json.loads(x) if isinstance(x, str) else dict(x)
-        elif options.get("pca_path") and os.path.exists(options["pca_path"]):
-            with open(options["pca_path"]) as f:
+        if inline:
+            got = json.loads(inline) if isinstance(inline, str) else dict(inline)
+        elif path and os.path.exists(path):
+            with open(path) as f:
                 got = json.load(f)
     except (ValueError, OSError):
         return None
@@ -113,9 +148,9 @@ def load_pca(options: dict[str, Any]) -> dict | None:
 
 
 def pca(features: Column, model: dict | None) -> Column:
-    """Centred, scaled, projected and normalised features; unchanged if the model has other columns."""
+    """Centred, scaled, projected and normalised features; only normalised without a model of as many columns."""
     if model is None or model["cols"] != 8:
-        return features
+        return l2_normalise(features)
     cols = model["cols"]
     x = features
     if model.get("center"):
@@ -126,20 +161,33 @@ def pca(features: Column, model: dict | None) -> Column:
     return l2_normalise(F.array(*[F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) for w in rows]))
 
 
+def _window_parts() -> list[Column]:
+    return [F.concat(F.lit("service="), "service"), F.concat(F.lit("ts_start="), F.col("window_start").cast("string")), F.concat(F.lit("ts_end="), F.col("window_end").cast("string"))]
+
+
+def _labelled(key: str) -> Column:
+    return F.concat(F.lit(f"{key}="), non_blank(F.col("labels")[key]))
+
+
 def log_text(include: Sequence[str] = (), compat: bool = False) -> Column:
-    """kind=log service=... ts_start=... ts_end=..., included labels in order, success, summary."""
-    success = F.concat(F.lit("success="), F.when(F.col("error_rate") > 0, "false").otherwise("true"))
-    keys = sorted(k for k in include if compat or k != "success")
-    parts = [F.concat(F.lit(f"{k}="), F.col("labels")[k]) for k in keys]
-    return F.concat_ws(" ", F.lit("kind=log"), F.concat(F.lit("service="), "service"), F.concat(F.lit("ts_start="), F.col("window_start").cast("string")), F.concat(F.lit("ts_end="), F.col("window_end").cast("string")), *parts, success, F.concat(F.lit("summary="), F.nullif("summary", F.lit(""))))
+    """kind=log service=... ts_start=... ts_end=..., included labels in order, success, summary.
 
+    success is the label where it is included and there, else whether no error was seen; compat repeats it behind the label.
+    """
+    derived = F.concat(F.lit("success="), F.when(F.col("error_rate") > 0, "false").otherwise("true"))
+    parts = [F.coalesce(_labelled(k), derived) if k == "success" else _labelled(k) for k in sorted(include)]
+    if "success" not in include:
+        parts.append(derived)
+    elif compat:
+        parts.append(F.when(non_blank(F.col("labels")["success"]).isNotNull(), derived))
+    return F.concat_ws(" ", F.lit("kind=log"), *_window_parts(), *parts, F.concat(F.lit("summary="), non_blank(F.col("summary"))))
 
-def trace_text(max_attrs: int = 8) -> Column:
-    """kind=trace with the five measures, up to max_attrs labels in order of their keys, and the summary."""
+
+def trace_text(include: Sequence[str] = TRACE_ATTRIBUTES, max_attrs: int = 6) -> Column:
+    """kind=trace with window and measures, the first max_attrs of the included labels that are there, and the summary."""
     stats = [F.concat(F.lit(f"{c}="), fixed(F.coalesce(F.col(c), F.lit(0.0)), 6)) for c in ("p50", "p95", "p99", "rps", "error_rate")]
-    entries = F.slice(F.array_sort(F.map_entries(F.coalesce("labels", F.create_map().cast("map<string,string>")))), 1, max_attrs)
-    labels = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
-    return F.concat_ws(" ", F.lit("kind=trace"), F.concat(F.lit("service="), "service"), *stats, F.nullif(labels, F.lit("")), F.concat(F.lit("summary="), F.nullif("summary", F.lit(""))))
+    there = F.slice(F.array_compact(F.array(*[_labelled(k) for k in include])), 1, max_attrs) if include else F.array().cast("array<string>")
+    return F.concat_ws(" ", F.lit("kind=trace"), *_window_parts(), *stats, there, F.concat(F.lit("summary="), non_blank(F.col("summary"))))
 
 
 def fallback_summary() -> Column:
@@ -149,11 +197,31 @@ def fallback_summary() -> Column:
     return F.concat_ws(" ", F.concat(F.lit("service="), "service"), F.concat(F.lit("window="), utc("window_start"), F.lit("/"), utc("window_end")), *stats, F.concat(F.lit("count="), F.col("count").cast("string")))
 
 
-def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequence[str] = (), stopwords: Sequence[str] = (), pca_model: dict | None = None, ema_alpha: float = 0.0, slot=None) -> DataFrame:
-    """aggregates with vector, by labels.source: logs and traces as text, metrics as numbers, others by their summary."""
+def vectorize(
+    aggregates: DataFrame,
+    dim: int = 384,
+    n: int = 2,
+    include: Sequence[str] = LOG_FIELDS,
+    stopwords: Sequence[str] = (),
+    pca_model: dict | None = None,
+    ema_alpha: float = 0.0,
+    slot=None,
+    trace_attributes: Sequence[str] = TRACE_ATTRIBUTES,
+    max_attrs: int = 6,
+    p90_approx: bool = True,
+    lowercase: bool = True,
+    remote: Callable[[str], Sequence[float]] | None = None,
+    retries: int = 2,
+    allow_fallback: bool = True,
+) -> DataFrame:
+    """aggregates with vector, by labels.source: logs and traces as text, metrics as numbers, others by their summary.
+
+    With remote, texts are embedded by that call; where it fails, by hashing if allow_fallback, else there is no vector.
+    """
     source = F.coalesce(F.lower(F.col("labels")["source"]), F.lit(""))
-    text = F.when(source == "logs", log_text(include)).when(source == "traces", trace_text()).when(source == "metrics", F.lit(None)).otherwise(F.coalesce(F.nullif("summary", F.lit("")), fallback_summary()))
-    numbers = metric_features()
+    summary = F.when(F.trim(F.col("summary"), F.lit(" \t\r\n\f\v")) != "", F.col("summary"))
+    text = F.when(source == "logs", log_text(include)).when(source == "traces", trace_text(trace_attributes, max_attrs)).when(source == "metrics", F.lit(None)).otherwise(F.coalesce(summary, fallback_summary()))
+    numbers = metric_features(p90_approx)
     out = aggregates
     if 0 < ema_alpha <= 1:
         from telemill.operators.series import exponential_average
@@ -164,10 +232,54 @@ def vectorize(aggregates: DataFrame, dim: int = 384, n: int = 2, include: Sequen
         numbers = F.array(*[F.col(f"ema_{x}") for x in names])
     numeric = pca(numbers, pca_model).cast("array<float>")
     out = out.withColumns({"__text": fenced(text), "__numeric": fenced(numeric)})
-    made = out.withColumn("vector", F.when(source == "metrics", F.col("__numeric")).otherwise(hash_embedding(F.col("__text"), dim, n, stopwords)))
+    if remote is not None:
+        out = out.withColumn("__remote", F.when(F.col("__text").isNotNull(), remote_vector(F.col("__text"), remote, retries)))
+        hashed = F.coalesce("__remote", F.when(F.col("__remote").isNull(), hash_embedding(F.col("__text"), dim, n, stopwords, lowercase))) if allow_fallback else F.col("__remote")
+    else:
+        hashed = hash_embedding(F.col("__text"), dim, n, stopwords, lowercase)
+    made = out.withColumn("vector", F.when(source == "metrics", F.col("__numeric")).otherwise(hashed))
     return made.select(*[c for c in aggregates.columns if c != "vector"], "vector")
 
 
+def _tried(call: Callable[[str], Sequence[float]], text: str, retries: int) -> np.ndarray | None:
+    """The unit vector of a text, or None after retries + 1 failures; an empty answer is a failure."""
+    for _ in range(retries + 1):
+        try:
+            got = np.asarray(call(text), dtype=np.float64)
+        except Exception:  # noqa: BLE001 - any failure of the remote side counts as a failed try
+            continue
+        if got.size:
+            size = np.linalg.norm(got)
+            return (got / size if size > 0 else got).astype(np.float32)
+    return None
+
+
+def remote_vector(text: Column, call: Callable[[str], Sequence[float]], retries: int = 2) -> Column:
+    """array<float> of an injected client; the different texts of a batch are sent once each."""
+
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        known = {t: _tried(call, t, retries) for t in batch.dropna().unique()}
+        return pd.Series([None if t is None else known[t] for t in batch], dtype=object)
+
+    return run.asNondeterministic()(text)
+
+
+def http_embedding(endpoint: str, model: str, timeout_s: float = 5.0) -> Callable[[str], Sequence[float]]:
+    """A call for remote_vector: POST {model, prompt} to <endpoint>/api/embeddings, which answers {embedding}."""
+    url = endpoint.rstrip("/") + "/api/embeddings"
+
+    def call(text: str) -> Sequence[float]:
+        import urllib.request
+
+        body = json.dumps({"model": model, "prompt": text}).encode()
+        request = urllib.request.Request(url, data=body, headers={"Content-Type": "application/json"}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout_s) as r:
+            return json.load(r)["embedding"]
+
+    return call
+
+
 def remote_embedding(rows: DataFrame, id_col: str, text_col: str, call: Callable[[str], Sequence[float]], retries: int = 2, fallback: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
     """id, vector by an injected client, one session a partition; retries + 1 tries, then the fallback or null."""
     id_type = rows.schema[id_col].dataType.simpleString()
@@ -176,17 +288,10 @@ def remote_embedding(rows: DataFrame, id_col: str, text_col: str, call: Callable
         for pdf in parts:
             out = []
             for text in pdf[text_col]:
-                got = None
-                for _ in range(retries + 1):
-                    try:
-                        got = np.asarray(call(text or ""), dtype=np.float64)
-                        break
-                    except Exception:  # noqa: BLE001 - any failure of the remote side counts as a failed try
-                        continue
+                got = _tried(call, text or "", retries)
                 if got is None and fallback is not None:
-                    got = np.asarray(fallback(text or ""), dtype=np.float64)
-                size = np.linalg.norm(got) if got is not None else 0
-                out.append(None if got is None else (got / size if size > 0 else got).astype(np.float32))
+                    got = _tried(fallback, text or "", 0)
+                out.append(got)
             yield pd.DataFrame({id_col: pdf[id_col], "vector": pd.Series(out, dtype=object)})
 
     return rows.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {id_type}, vector array<float>")

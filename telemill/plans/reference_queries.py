@@ -296,18 +296,27 @@ def t2_bucket_delta(spark: SparkSession, d: str) -> DataFrame:
 _Z = ", ".join(f"CASE WHEN coalesce(stddev_samp({f}) OVER w, 0) <= 1e-9 THEN 0 ELSE round(({f} - avg({f}) OVER w) / stddev_samp({f}) OVER w, 4) END AS z_{f}" for f in ("p99", "error_rate", "rps"))
 
 
-@query(f"WITH {views.CLEAN_SQL} SELECT agg_id, {_Z} FROM agg WINDOW w AS (PARTITION BY service ORDER BY window_start, agg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+#: Every row has a service and finite measures: unknown, and 0 for null, NaN and infinite.
+_SERIES_SQL = "agg AS (SELECT agg_id, coalesce(service, 'unknown') AS service, window_start, " + ", ".join(f"CASE WHEN isfinite({m}) THEN {m} ELSE 0 END AS {m}" for m in ("p99", "error_rate", "rps")) + " FROM aggregates)"
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    measures = {m: F.when(F.abs(m) < float("inf"), F.col(m)).otherwise(0.0) for m in ("p99", "error_rate", "rps")}
+    return table(spark, d, "aggregates").withColumns(measures | {"service": F.coalesce("service", F.lit("unknown"))})
+
+
+@query(f"WITH {_SERIES_SQL} SELECT agg_id, {_Z} FROM agg WINDOW w AS (PARTITION BY service ORDER BY window_start, agg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def t4_zscore(spark: SparkSession, d: str) -> DataFrame:
-    z = series.running_zscore(views.clean_aggregates(spark, d), "service", ["window_start", "agg_id"], ["p99", "error_rate", "rps"])
+    z = series.running_zscore(_series(spark, d), "service", ["window_start", "agg_id"], ["p99", "error_rate", "rps"])
     return z.select("agg_id", *[(F.round(f"z_{f}", 4) + 0.0).alias(f"z_{f}") for f in ("p99", "error_rate", "rps")])
 
 
 @query(
-    f"""WITH {views.CLEAN_SQL} SELECT agg_id, {", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, list({f}) OVER w), lambda s, x: 0.3 * x + 0.7 * s), 6) AS ema_{f}" for f in ("rps", "p99"))}
+    f"""WITH {_SERIES_SQL} SELECT agg_id, {", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, list({f}) OVER w), lambda s, x: 0.3 * x + 0.7 * s), 6) AS ema_{f}" for f in ("rps", "p99"))}
 FROM agg WINDOW w AS (PARTITION BY service ORDER BY window_start, agg_id ROWS BETWEEN 200 PRECEDING AND CURRENT ROW)"""
 )
 def t5_ema(spark: SparkSession, d: str) -> DataFrame:
-    e = series.exponential_average(views.clean_aggregates(spark, d), "service", ["window_start", "agg_id"], ["rps", "p99"], 0.3)
+    e = series.exponential_average(_series(spark, d), "service", ["window_start", "agg_id"], ["rps", "p99"], 0.3)
     return _round(e.select("agg_id", "ema_rps", "ema_p99"), 6, "ema_rps", "ema_p99")
 
 
@@ -338,52 +347,20 @@ def m1_features(spark: SparkSession, d: str) -> DataFrame:
 # Vectors
 
 
-@query(
-    f"""WITH {views.CLEAN_SQL} SELECT agg_id, concat_ws(' ', 'kind=log', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, 'env=' || labels['env'], 'source=' || labels['source'],
-'success=' || CASE WHEN error_rate > 0 THEN 'false' ELSE 'true' END, 'summary=' || nullif(summary, '')) AS text FROM agg"""
-)
-def v2_log_text(spark: SparkSession, d: str) -> DataFrame:
-    return views.clean_aggregates(spark, d).select("agg_id", vectors.log_text(["source", "env", "success"]).alias("text"))
-
-
-@query(
-    f"""WITH {views.CLEAN_SQL} SELECT agg_id, concat_ws(' ', 'kind=trace', 'service=' || service, {", ".join(f"'{c}=' || printf('%.6f', round({c}, 6))" for c in ("p50", "p95", "p99", "rps", "error_rate"))},
-'env=' || labels['env'], 'source=' || labels['source'], 'summary=' || nullif(summary, '')) AS text FROM agg WHERE len(map_keys(labels)) = 2 AND labels['env'] IS NOT NULL AND labels['source'] IS NOT NULL"""
-)
-def v3_trace_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.clean_aggregates(spark, d).where("size(labels) = 2 AND labels['env'] IS NOT NULL AND labels['source'] IS NOT NULL")
-    return rows.select("agg_id", vectors.trace_text().alias("text"))
-
-
 #: Fixed-point text of a measure: null as 0, NaN and infinite as Java writes them.
 _FIXED_SQL = "CASE WHEN isnan({0}) THEN 'NaN' WHEN isinf({0}) THEN if({0} > 0, 'Infinity', '-Infinity') ELSE printf('%.6f', round(coalesce({0}, 0), 6)) END"
-_LABELS_SQL = "nullif(array_to_string(list_transform(list_sort(map_entries(labels))[:8], lambda e: concat_ws('=', e.key, e.value)), ' '), '')"
-
-
-@query(
-    f"""SELECT agg_id, concat_ws(' ', 'kind=trace', 'service=' || service, {", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("p50", "p95", "p99", "rps", "error_rate"))},
-{_LABELS_SQL}, 'summary=' || nullif(summary, '')) AS text FROM aggregates"""
-)
-def v3_trace_text_whole(spark: SparkSession, d: str) -> DataFrame:
-    """v3_trace_text of every row: any labels, any measures."""
-    return table(spark, d, "aggregates").select("agg_id", vectors.trace_text().alias("text"))
 
 
 @query(
-    f"""WITH {views.CLEAN_SQL} SELECT agg_id, concat_ws(' ', 'service=' || service, 'window=' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '/' || strftime(make_timestamp(window_end * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
-{", ".join(f"'{c}=' || printf('%.6f', round({c}, 6))" for c in ("rps", "error_rate", "p50", "p95", "p99"))}, 'count=' || count) AS text FROM agg"""
+    f"""SELECT agg_id, concat_ws(' ', 'kind=trace', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, {", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("p50", "p95", "p99", "rps", "error_rate"))},
+nullif(array_to_string(list_filter(['source=' || nullif(labels['source'], ''), 'nothing=' || nullif(labels['nothing'], ''), 'env=' || nullif(labels['env'], ''), 'operation=' || nullif(labels['operation'], '')], lambda x: x IS NOT NULL)[:2], ' '), ''),
+'summary=' || nullif(summary, '')) AS text FROM aggregates"""
 )
-def v5_fallback_summary(spark: SparkSession, d: str) -> DataFrame:
-    return views.clean_aggregates(spark, d).select("agg_id", vectors.fallback_summary().alias("text"))
-
+def v3_trace_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "aggregates").select("agg_id", vectors.trace_text(["source", "nothing", "env", "operation"], 2).alias("text"))
 
-_V4_SQL = "[p50, CASE WHEN p50 > 0 AND p95 > 0 THEN (p50 + p95) / 2 ELSE p95 END, p95, p99, rps, error_rate, error_rate * count, count / (1 + window_end - window_start)]"
 
-
-@query(f"WITH {views.CLEAN_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg) SELECT agg_id, i, round(v[i], 8) AS x FROM v, range(1, 9) r(i)")
-def v4_metric_vector(spark: SparkSession, d: str) -> DataFrame:
-    v = views.clean_aggregates(spark, d).select("agg_id", F.posexplode(vectors.metric_features()).alias("i", "x"))
-    return v.select("agg_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 8).alias("x"))
+_V4_SQL = "[p50, (p50 + p95) / 2, p95, p99, rps, error_rate, error_rate * count, count / (1 + window_end - window_start)]"
 
 
 _PCA = {"rows": 2, "cols": 8, "data": [0.5, -0.25, 0.1, 0.3, 0.01, 2.0, 0.0, 0.05, -0.4, 0.2, 0.3, -0.1, 0.02, 1.0, 0.5, -0.03], "center": [0.1, 0.2, 0.3, 0.4, 10.0, 0.01, 1.0, 5.0], "scale": [0.1, 0.2, 0.2, 0.3, 20.0, 0.02, 0.0, 8.0]}
@@ -392,16 +369,7 @@ _PCA_ROWS = ", ".join(
 )
 
 
-@query(
-    f"WITH {views.CLEAN_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg), p AS (SELECT agg_id, [{_PCA_ROWS}] AS p FROM v) "
-    "SELECT agg_id, round(p[1] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS a, round(p[2] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS b FROM p"
-)
-def v6_pca(spark: SparkSession, d: str) -> DataFrame:
-    v = views.clean_aggregates(spark, d).select("agg_id", vectors.pca(vectors.metric_features(), vectors.load_pca({"pca_inline": _PCA})).alias("p"))
-    return v.select("agg_id", F.round(F.col("p")[0], 6).alias("a"), F.round(F.col("p")[1], 6).alias("b"))
-
-
-# The same over every row of aggregates: null measures count as 0, NaN and infinite go on as they are.
+# Over every row of aggregates: null measures count as 0, NaN and infinite go on as they are.
 _WHOLE_SQL = "agg AS (SELECT agg_id, service, window_start, window_end, labels, summary, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("count", "rps", "error_rate", "p50", "p95", "p99")) + " FROM aggregates)"
 
 
@@ -409,7 +377,7 @@ _WHOLE_SQL = "agg AS (SELECT agg_id, service, window_start, window_end, labels,
     f"""WITH {_WHOLE_SQL} SELECT agg_id, concat_ws(' ', 'kind=log', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, 'env=' || labels['env'], 'source=' || labels['source'],
 'success=' || CASE WHEN error_rate > 0 THEN 'false' ELSE 'true' END, 'summary=' || nullif(summary, '')) AS text FROM agg"""
 )
-def v2_log_text_whole(spark: SparkSession, d: str) -> DataFrame:
+def v2_log_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aggregates").select("agg_id", vectors.log_text(["source", "env", "success"]).alias("text"))
 
 
@@ -417,12 +385,12 @@ def v2_log_text_whole(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_WHOLE_SQL} SELECT agg_id, concat_ws(' ', 'service=' || service, 'window=' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '/' || strftime(make_timestamp(window_end * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
 {", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("rps", "error_rate", "p50", "p95", "p99"))}, 'count=' || count) AS text FROM agg"""
 )
-def v5_fallback_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+def v5_fallback_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aggregates").select("agg_id", vectors.fallback_summary().alias("text"))
 
 
 @query(f"WITH {_WHOLE_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg) SELECT agg_id, i, round(v[i], 8) AS x FROM v, range(1, 9) r(i)")
-def v4_metric_vector_whole(spark: SparkSession, d: str) -> DataFrame:
+def v4_metric_vector(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "aggregates").select("agg_id", F.posexplode(vectors.metric_features()).alias("i", "x"))
     return v.select("agg_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 8).alias("x"))
 
@@ -431,20 +399,13 @@ def v4_metric_vector_whole(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_WHOLE_SQL}, v AS (SELECT agg_id, {_V4_SQL} AS v FROM agg), p AS (SELECT agg_id, [{_PCA_ROWS}] AS p FROM v) "
     "SELECT agg_id, round(p[1] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS a, round(p[2] / sqrt(p[1] * p[1] + p[2] * p[2]), 6) AS b FROM p"
 )
-def v6_pca_whole(spark: SparkSession, d: str) -> DataFrame:
+def v6_pca(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "aggregates").select("agg_id", vectors.pca(vectors.metric_features(), vectors.load_pca({"pca_inline": _PCA})).alias("p"))
     return v.select("agg_id", F.round(F.col("p")[0], 6).alias("a"), F.round(F.col("p")[1], 6).alias("b"))
 
 
-@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings) SELECT vec_id, i, round(embedding[i]::DOUBLE / n, 6) AS x FROM n, range(1, 9) r(i)")
-def v7_l2(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice(vectors.l2_normalise(F.col("embedding")), 1, 8)).alias("i", "x"))
-    return v.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
-
-
 @query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) SELECT vec_id, i, round(embedding[i]::DOUBLE / n, 6) AS x FROM n")
-def v7_l2_whole(spark: SparkSession, d: str) -> DataFrame:
-    """v7_l2 over all components."""
+def v7_l2(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalise(F.col("embedding"))).alias("i", "x"))
     return v.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 

@@ -86,20 +86,6 @@ COUNTERS_SQL = """counters AS (
   FROM (SELECT *, 'svc-' || (user_id % 5) AS service FROM events)
   WINDOW w AS (PARTITION BY service, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
-_MEASURES = ("rps", "error_rate", "p50", "p95", "p99")
-
-
-def clean_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aggregates with a service and finite measures."""
-    rows = table(spark, sf_dir, "aggregates").where(F.col("service").isNotNull())
-    for m in _MEASURES:
-        rows = rows.where(F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < float("inf")))
-    return rows
-
-
-CLEAN_SQL = "agg AS (SELECT * FROM aggregates WHERE service IS NOT NULL AND " + " AND ".join(f"{m} IS NOT NULL AND isfinite({m})" for m in _MEASURES) + ")"
-
-
 def otlp_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as OTLP log records with any-typed bags in JSON text."""
     e = table(spark, sf_dir, "events")
