@@ -25,8 +25,10 @@ def scalar_attributes(bag: Column) -> Column:
     return F.map_filter(F.transform_values(kinds, text), lambda k, v: v.isNotNull())
 
 
-def flatten(records: DataFrame, level_alias: str = "level", attribute_prefix: str = "", service_attribute: str = "service.name") -> DataFrame:
-    """records with fields map<string,string>: one flat JSON log each."""
+def flatten(
+    records: DataFrame, level_alias: str = "level", attribute_prefix: str = "", service_attribute: str = "service.name", resource_attrs: bool = True, scope_attrs: bool = True, resource_prefix: str = "resource.", scope_prefix: str = "scope."
+) -> DataFrame:
+    """records with fields map<string,string>: one flat JSON log each; the service comes with the resource's attributes."""
     records = records.withColumns({"__res": fenced(scalar_attributes(F.col("resource"))), "__attrs": fenced(scalar_attributes(F.col("attributes")))})
     res, attrs = F.col("__res"), F.col("__attrs")
     hexed = lambda c: F.lower(F.hex(F.when(F.length(c) > 0, c)))
@@ -38,11 +40,12 @@ def flatten(records: DataFrame, level_alias: str = "level", attribute_prefix: st
         "span_id": hexed(F.col("span_id")), "flags": some(F.col("flags")),
     }
     pick = lambda d: F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in d]), F.array(*d.values())), lambda k, v: v.isNotNull())
-    prefixed = F.transform_keys(attrs, lambda k, v: F.concat(F.lit(attribute_prefix), k))
-    resource = F.transform_keys(res, lambda k, v: F.concat(F.lit("resource."), k))
-    service = F.coalesce(non_blank(res[service_attribute]), non_blank(res["service.name"]), non_blank(res["service"]))
-    tail = pick({"service": service, "service.name": service, "scope.name": non_blank(F.col("scope_name")), "scope.version": non_blank(F.col("scope_version"))})
-    maps = [pick(base), prefixed, resource, tail]
+    maps = [pick(base), F.transform_keys(attrs, lambda k, v: F.concat(F.lit(attribute_prefix), k))]
+    if resource_attrs:
+        service = non_blank(res[service_attribute])
+        maps += [F.transform_keys(res, lambda k, v: F.concat(F.lit(resource_prefix), k)), pick({"service": service, "service.name": service})]
+    if scope_attrs:
+        maps.append(pick({f"{scope_prefix}name": non_blank(F.col("scope_name")), f"{scope_prefix}version": non_blank(F.col("scope_version"))}))
     out = records.withColumns({f"__m{i}": fenced(m) for i, m in enumerate(maps)})
     fields = F.col("__m0")
     for i in range(1, len(maps)):
@@ -56,5 +59,8 @@ def _overwritten(old: Column, new: Column) -> Column:
 
 
 def to_envelopes(flat: DataFrame) -> DataFrame:
-    """One json_logs envelope a record."""
-    return flat.select(F.lit("json_logs").alias("kind"), F.to_json("fields").cast("binary").alias("bytes"), F.create_map().cast("map<string,string>").alias("attrs"), F.floor(F.col("time_unix_nano") / 1_000_000_000).alias("ts_unix"))
+    """One json_logs envelope a record; rows that carry a passed body (otlp.decode_or_pass) keep it, its attrs and arrival."""
+    attrs, arrival, body = F.create_map().cast("map<string,string>"), F.floor(F.col("time_unix_nano") / 1_000_000_000), F.to_json("fields").cast("binary")
+    if "passed" in flat.columns:
+        attrs, arrival, body = F.coalesce("attrs", attrs), F.when(F.col("passed").isNotNull() | (F.coalesce("time_unix_nano", F.lit(0)) == 0), F.col("ts_unix")).otherwise(arrival), F.coalesce("passed", body)
+    return flat.select(F.lit("json_logs").alias("kind"), body.alias("bytes"), attrs.alias("attrs"), arrival.alias("ts_unix"))

@@ -8,7 +8,7 @@ windows and totals by series and key are held over to the next micro-batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -60,27 +60,38 @@ Stage = Callable[[Flow], Flow]
 
 
 def _filter(c: Component) -> Stage:
-    expression, on, drop = c.get("expression", c.get("expr", ""), str), c.get("on", "metrics", str), c.get("drop_non_matching", True, bool)
-    post = c.get("stage", "pre", str) == "post" or on == "aggregates"
+    expression, on, drop = c.get("expr", "", str), c.get("on", "metrics", str).strip().lower(), c.get("drop_non_matching", True, bool)
+    post = c.get("stage", "pre", str).strip().lower() == "post"
 
     def run(flow: Flow) -> Flow:
-        if post:
-            return flow if flow.aggregates is None else replace(flow, aggregates=filter_aggregates(flow.aggregates, expression, drop))
-        return replace(flow, kinds={k: filter_envelopes(v, expression, on, drop) for k, v in flow.kinds.items()})
+        out = flow
+        if (post or on == "aggregates") and flow.aggregates is not None:
+            out = replace(out, aggregates=filter_aggregates(flow.aggregates, expression, drop))
+        if not post:
+            out = replace(out, kinds={k: filter_envelopes(v, expression, on, drop) for k, v in flow.kinds.items()})
+        return out
 
     return run
 
 
+def _names(c: Component, key: str, default: Sequence[str]) -> list[str]:
+    """A list of non-empty texts."""
+    given = c.get(key)
+    return [str(x) for x in (default if not isinstance(given, (list, tuple)) else given) if x not in (None, "")]
+
+
 def _spanmetrics(c: Component) -> Stage:
+    dimensions, bounds = _names(c, "dimensions", ()), tuple(float(b) for b in c.get("histogram_buckets", spans.DURATION_BOUNDS))
+    events = _names(c, "error_event_names", ("exception",)) if c.get("error_from_events", True, bool) else []
+
     def run(flow: Flow) -> Flow:
         if "traces" not in flow.kinds:
             return flow
-        mine = flow.kinds["traces"]
-        rows = otlp.decode_bodies(mine, "bytes", "traces")
-        points = spans.to_points(
-            rows, c.get("dimensions", []), tuple(float(b) for b in c.get("histogram_buckets", spans.DURATION_BOUNDS)), c.get("error_event_names", ["exception"]), c.get("error_attributes", ["exception.type"]), c.get("status_errors", True, bool)
-        )
-        return flow.with_kind("traces", mine.where(~otlp.decodable(F.col("bytes"), "traces"))).with_points(points)
+        rows = otlp.decode_or_pass(flow.kinds["traces"], "traces")
+        points = spans.to_points(rows.where("passed IS NULL"), dimensions, bounds, events, _names(c, "error_event_attr_dims", ()), c.get("error_from_status", True, bool))
+        # Bodies without a span go on as they came.
+        rest = rows.where("passed IS NOT NULL").select(F.lit("traces").alias("kind"), F.col("passed").alias("bytes"), "attrs", "ts_unix")
+        return flow.with_kind("traces", rest).with_points(points)
 
     return run
 
@@ -89,18 +100,19 @@ def _otlplogs(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         if "json_logs" not in flow.kinds:
             return flow
-        mine = flow.kinds["json_logs"]
         is_json = F.trim(F.col("bytes").cast("string")).startswith("{")
-        records = otlp.decode_bodies(mine.where(~is_json), "bytes", "logs")
-        flat = otlp_logs.flatten(records, c.get("level_alias", "level", str), c.get("attribute_prefix", "", str), c.get("service_attribute", "service.name", str))
-        unchanged = mine.where(is_json | ~otlp.decodable(F.col("bytes"), "logs"))
-        return flow.with_kind("json_logs", unchanged.unionByName(otlp_logs.to_envelopes(flat)))
+        records = otlp.decode_or_pass(flow.kinds["json_logs"], "logs", skip=is_json)
+        flat = otlp_logs.flatten(
+            records, c.get("level_alias", "level", str) or "level", c.get("attr_prefix", "", str), c.get("service_key", "service.name", str) or "service.name",
+            c.get("resource_attrs", True, bool), c.get("scope_attrs", True, bool), c.get("resource_prefix", "", str) or "resource.", c.get("scope_prefix", "", str) or "scope.",
+        )
+        return flow.with_kind("json_logs", otlp_logs.to_envelopes(flat))
 
     return run
 
 
 def _seconds(c: Component) -> int:
-    return max(1, int(c.get("window_seconds", 60, float)))
+    return int(c.get("window_seconds", 60, float)) if c.get("window_seconds", 60, float) >= 1 else 60
 
 
 def _summarizer(c: Component) -> Stage:
@@ -116,29 +128,34 @@ def _summarizer(c: Component) -> Stage:
             out = out.with_aggregates(metrics.summarize_points(metrics.to_delta(whole, flow.slot(f"{c.key}:series")), window, cap, attribute, "metrics"))
         if "prom_rw" in flow.kinds:
             samples = otlp.decode_bodies(flow.kinds["prom_rw"], "bytes", "prom_rw")
-            out = out.with_aggregates(metrics.summarize_prometheus(flow.closed(f"{c.key}:prom_rw", samples, F.col("ts_ms") / 1000, window), window, cap, c.get("service_label", "service.name", str)))
+            out = out.with_aggregates(metrics.summarize_prometheus(flow.closed(f"{c.key}:prom_rw", samples, F.col("ts_ms") / 1000, window), window, cap, attribute))
         return replace(out, points=None).with_kind("metrics", None).with_kind("prom_rw", None)
 
     return run
 
 
 def _logsum(c: Component) -> Stage:
+    fields, users = _names(c, "topk_fields", ()), _names(c, "user_id_fields", logs.USER_KEYS)
+    levels = _names(c, "error_levels", logs.ERROR_LEVELS)
+
     def run(flow: Flow) -> Flow:
         if "json_logs" not in flow.kinds:
             return flow
         mine = flow.kinds["json_logs"]
-        v, fields = F.col("v"), list(c.get("top_fields", ["endpoint"]))
+        v = F.col("v")
         get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
         nanos = F.floor(get("timestamp_unix_nano").try_cast("decimal(38,0)") / 1_000_000_000).cast("long")
         at = F.coalesce(F.when(nanos > 0, nanos), late_events.readable_seconds(get("ts")), F.col("ts_unix"))
         read = {
             "ts": at, "service": logs.service_of(v, c.get("service_field", "service", str)), "level": logs.first_field(v, [c.get("level_field", "level", str)]),
-            "user": logs.first_field(v, c.get("user_fields", ["user_id", "account_id"])), "latency_ms": logs.numeric_field(v, c.get("quantile_field", "latency_ms", str)),
-            **{f: logs.first_field(v, [f]) for f in fields},
+            "user": logs.first_field(v, users) if users else F.lit(None).cast("string"), "latency_ms": logs.numeric_field(v, c.get("quantile_field", "latency_ms", str)),
+            **{f"field_{i}": logs.first_field(v, [f]) for i, f in enumerate(fields)},
         }
         parsed = mine.select("ts_unix", fenced(logs.parse_object(F.col("bytes").cast("string"))).alias("v")).where("v IS NOT NULL")
         typed = parsed.select(*[fenced(x).alias(k) for k, x in read.items()])
-        return flow.with_kind("json_logs", None).with_aggregates(logs.summarize(flow.closed(c.key, typed, F.col("ts"), _seconds(c)), _seconds(c), fields, limit=c.get("topk_limit", 5, int)))
+        whole = flow.closed(c.key, typed, F.col("ts"), _seconds(c))
+        made = logs.summarize(whole, _seconds(c), {f: f"field_{i}" for i, f in enumerate(fields)}, limit=c.get("topk_limit", 5, int), levels=levels)
+        return flow.with_kind("json_logs", None).with_aggregates(made)
 
     return run
 
@@ -149,19 +166,30 @@ def _iforest(c: Component) -> Stage:
     def run(flow: Flow) -> Flow:
         if flow.aggregates is None:
             return flow
-        scored = forest.with_score(flow.aggregates, trees, tuple(c.get("features", forest.FEATURES)), c.get("normalization", "none", str), c.get("subsample", 256, int), threshold, flow.slot(c.key))
+        scored = forest.with_score(flow.aggregates, trees, tuple(_names(c, "features", forest.FEATURES)), c.get("normalization", "none", str).strip().lower(), c.get("subsample_size", 256, int), threshold, flow.slot(c.key))
         return replace(flow, aggregates=scored)
 
     return run
 
 
 def _vectorizer(c: Component) -> Stage:
-    model = vectors.load_pca(c.options)
+    pca = {k: c.get(f"metrics.pca.{k}") for k in ("matrix_inline", "matrix_path", "center", "scale")}
+    wanted = c.get("metrics.pca.enabled", bool(pca["matrix_inline"] or pca["matrix_path"]), bool)
+    model = vectors.load_pca(pca) if wanted else None
+    mode = c.get("mode", "remote" if c.get("endpoint") else "hash", str).strip().lower()
+    remote = None if mode == "hash" else c.options.get("call") or vectors.http_embedding(c.get("endpoint", "http://localhost:11434", str), c.get("model", "nomic-embed-text", str), c.get("timeout_ms", 5000, float) / 1000)
+    # Modes of no known name try the remote side and always fall back.
+    fallback = c.get("allow_fallback", True, bool) or mode not in ("ollama", "remote")
+    lower, grams = c.get("lowercase", True, bool), c.get("hash_ngrams", 2, int)
+    stop = [w.lower() if lower else w for w in _names(c, "stopwords", vectors.STOPWORDS)]
 
     def run(flow: Flow) -> Flow:
         if flow.aggregates is None:
             return flow
-        made = vectors.vectorize(flow.aggregates, c.get("hash_dim", 384, int), c.get("ngrams", 2, int), c.get("include_fields", []), c.get("stopwords", []), model, c.get("ema_alpha", 0.0, float), flow.slot(c.key))
+        made = vectors.vectorize(
+            flow.aggregates, max(1, c.get("hash_dim", 384, int)), grams if 1 <= grams <= 3 else 2, _names(c, "logs.include_fields", vectors.LOG_FIELDS), stop, model, c.get("metrics.ema_alpha", 0.0, float), flow.slot(c.key),
+            _names(c, "traces.include_span_attrs", ()) or vectors.TRACE_ATTRIBUTES, max(1, c.get("traces.max_attrs", 6, int)), c.get("metrics.p90_approx", True, bool), lower, remote, max(0, c.get("retries", 2, int)), fallback,
+        )
         return replace(flow, aggregates=made)
 
     return run
@@ -170,29 +198,46 @@ def _vectorizer(c: Component) -> Stage:
 PROCESSORS: dict[str, Callable[[Component], Stage]] = {"filter": _filter, "spanmetrics": _spanmetrics, "otlplogs": _otlplogs, "summarizer": _summarizer, "logsum": _logsum, "iforest": _iforest, "vectorizer": _vectorizer}
 
 
-def _receive(spark: SparkSession, c: Component, streaming: bool) -> DataFrame:
-    kind = F.lit(c.get("kind", "json_logs" if c.type == "jsonlogs" else "metrics", str))
-    limit = c.get("max_files_per_trigger", None, int)
-    if c.type in ("landing", "otlpgrpc", "otlphttp", "promrw"):  # the gateway's landing zone of a network receiver
-        return brokers.landing_envelopes(spark, c.options["path"], streaming, limit)
-    if c.type == "jsonlogs" and "path" in c.options:
-        return brokers.landing_lines(spark, c.options["path"], streaming, limit)
-    if c.type in ("kafka", "jsonlogs"):
-        options = brokers.kafka_options(list(c.get("brokers", [])), c.get("topic", "", str), c.get("group", None, str), c.get("max_bytes", brokers.KAFKA_MAX_BYTES, int), c.get("max_offsets_per_trigger", None, int), c.get("fail_on_data_loss", True, bool))
-        return brokers.broker_envelopes(brokers.read(spark, "kafka", options, streaming), kind, c.get("ndjson", c.type == "jsonlogs", bool))
+_GATEWAYS = {"landing": "metrics", "otlpgrpc": "metrics", "otlphttp": "metrics", "promrw": "prom_rw", "jsonlogs": "json_logs"}
+
+
+def _receive(spark: SparkSession, c: Component, streaming: bool, landing_root: str | None) -> DataFrame:
+    """The envelopes of a receiver.
+
+    Network receivers are a gateway's: it writes to the folder named by landing (or path, where no endpoint makes that the
+    path of a URL), else to <landing_root>/<type>_<name>. A broker's topic can be landed likewise.
+    """
+    kind, limit = F.lit(c.get("kind", _GATEWAYS.get(c.type, "metrics"), str)), c.get("max_files_per_trigger", None, int)
+    folder = c.get("landing") or (c.get("path") if not c.get("endpoint") else None)
+    at_broker = c.type in ("kafka", "pulsar") or (c.type == "jsonlogs" and c.get("topic"))
+    if folder is None and landing_root is not None:
+        folder = f"{landing_root.rstrip('/')}/{c.key.replace('/', '_')}"
+    if folder is not None and c.type == "jsonlogs":
+        return brokers.landing_lines(spark, folder, streaming, limit)
+    if folder is not None:
+        rows = brokers.landing_envelopes(spark, folder, streaming, limit, c.get("max_body_bytes", None, int) or c.get("max_recv_msg_bytes", None, int))
+        return rows.withColumn("kind", landing.normal_kind(kind)) if at_broker else rows
     if c.type == "pulsar":
-        options = brokers.pulsar_options(c.get("url", "", str), c.get("topic", "", str), c.get("subscription", "", str), c.get("subscription_type", "shared", str), c.get("token", None, str))
+        options = brokers.pulsar_options(
+            c.get("endpoint", "", str) or str((c.get("brokers") or [""])[0]), c.get("topic", "", str), c.get("group", "", str), c.get("subscription_type", "shared", str), c.get("auth_token", None, str),
+            c.get("tls_trust_certs_file", None, str), c.get("auth_token_file", None, str), c.get("tls_allow_insecure", False, bool), c.get("receiver_queue_size", 1000, int), c.get("fail_on_data_loss", True, bool),
+        )
         return brokers.broker_envelopes(brokers.read(spark, "pulsar", options, streaming), kind, c.get("ndjson", False, bool))
-    raise ConfigError(f"unknown receiver type {c.type}")
+    if at_broker:
+        options = brokers.kafka_options(list(c.get("brokers", [])), c.get("topic", "", str), c.get("group", None, str), c.get("max_bytes", brokers.KAFKA_MAX_BYTES, int), c.get("max_offsets_per_trigger", None, int), c.get("fail_on_data_loss", True, bool))
+        return brokers.broker_envelopes(brokers.read(spark, "kafka", options, streaming), kind, c.get("ndjson", c.type == "jsonlogs", bool))
+    raise ConfigError(f"{c.key}: no landing folder" if c.type in _GATEWAYS else f"unknown receiver type {c.type}")
 
 
 def _exporter(c: Component) -> Callable[[DataFrame], object]:
     if c.type == "parquet":
+        if c.get("insert_if_absent", False, bool):
+            return stores.parquet_inserter(c.options["path"], c.get("id_template", stores.DEFAULT_ID, str))
         return stores.parquet_writer(c.options["path"])
     if c.type == "noop":
         return stores.noop_writer()
     if c.type in ("vectordb", "weaviate"):
-        post = c.options.get("post") or stores.http_post(str(c.options["endpoint"]).rstrip("/") + "/v1/objects", c.get("timeout_seconds", 10.0, float))
+        post = c.options.get("post") or stores.http_post(str(c.options["endpoint"]).rstrip("/") + "/v1/objects", c.get("timeout_seconds", 10.0, float), c.get("api_key", None, str))
         template, name = c.get("id_template", "{{.Service}}:{{.WindowStart}}:{{.Labels.source}}", str), c.get("class", "Aggregate", str)
         return lambda df: stores.push_objects(stores.vector_objects(df, name, template), post).agg(*[F.sum(x).alias(x) for x in ("sent", "existing", "failed")]).collect()
     raise ConfigError(f"unknown exporter type {c.type}")
@@ -204,13 +249,14 @@ class Pipeline:
     receivers: tuple[Component, ...]
     stages: tuple[Stage, ...]
     writers: tuple[Callable[[DataFrame], object], ...]
+    landing_root: str | None = None
 
     def aggregates(self, envelopes: DataFrame, held: Held | None = None) -> DataFrame | None:
         """The aggregate rows of a batch of envelopes; rows that never became aggregates are left out."""
         return reduce(lambda flow, stage: stage(flow), self.stages, Flow.of(envelopes, held)).aggregates
 
     def source(self, spark: SparkSession, streaming: bool = False) -> DataFrame:
-        return landing.fan_in(*[_receive(spark, c, streaming) for c in self.receivers])
+        return landing.fan_in(*[_receive(spark, c, streaming, self.landing_root) for c in self.receivers])
 
     def run_batch(self, envelopes: DataFrame, held: Held | None = None) -> None:
         rows = self.aggregates(envelopes, held)
@@ -225,7 +271,7 @@ class Pipeline:
         if held.before is not None:
             self.run_batch(spark.createDataFrame([], ENVELOPE), held)
 
-    def run_stream(self, spark: SparkSession, checkpoint: str, trigger: dict | None = None, lateness_seconds: float = 600.0) -> StreamRun:
+    def run_stream(self, spark: SparkSession, checkpoint: str, trigger: dict | None = None, lateness_seconds: float = 600.0, name: str | None = None) -> StreamRun:
         """The pipeline over its receivers as a streaming query.
 
         A window is written once, whole, when the newest time of its input has passed its end by lateness_seconds; later
@@ -234,7 +280,7 @@ class Pipeline:
         """
         stream = self.source(spark, streaming=True)
         batch = lambda df, n: self.run_batch(df, Held(df.sparkSession, checkpoint, n, lateness_seconds))
-        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(batch).start()
+        query = stream.writeStream.queryName(name or self.name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(batch).start()
         return StreamRun(query, None if trigger else lambda: self.close_windows(spark, checkpoint))
 
 
@@ -259,9 +305,12 @@ class StreamRun:
         return ended
 
 
-def build(cfg: Config) -> dict[str, Pipeline]:
+def build(cfg: Config, landing_root: str | None = None) -> dict[str, Pipeline]:
     """All pipelines; every configured component is instantiated, so unknown types fail early."""
     stages, writers = {}, {}
+    for key, c in cfg.receivers.items():
+        if c.type not in _GATEWAYS and c.type not in ("kafka", "pulsar"):
+            raise ConfigError(f"unknown receiver type {c.type}")
     for key, c in cfg.processors.items():
         if c.type not in PROCESSORS:
             raise ConfigError(f"unknown processor type {c.type}")
@@ -269,6 +318,6 @@ def build(cfg: Config) -> dict[str, Pipeline]:
     for key, c in cfg.exporters.items():
         writers[key] = _exporter(c)
     return {
-        name: Pipeline(name, tuple(cfg.receivers[r] for r in p.receivers), tuple(stages[s] for s in p.processors), tuple(writers[w] for w in p.exporters))
+        name: Pipeline(name, tuple(cfg.receivers[r] for r in p.receivers), tuple(stages[s] for s in p.processors), tuple(writers[w] for w in p.exporters), landing_root)
         for name, p in cfg.pipelines.items()
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from telemill.filters.expressions import filter_aggregates, filter_envelopes
 from telemill.functions.columns import window_start
+from telemill.functions.percentiles import group_percentiles
 from telemill.operators import forest, logs, metrics, otlp_logs, series, spans, vectors
 from telemill.schema import DURATION_BOUNDS
 from telemill.sinks import stores
@@ -82,10 +83,8 @@ def a14_unique_users(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {views.LOGS_SQL} SELECT operation, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM logs WHERE latency_ms IS NOT NULL GROUP BY ALL")
 def a16_log_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    from telemill.functions.columns import percentiles
-
-    p = percentiles(F.col("latency_ms"), (0.5, 0.95, 0.99))
-    return views.logs(spark, d).where("latency_ms IS NOT NULL").groupBy("operation").agg(*[F.round(x, 6).alias(n) for x, n in zip(p, ("p50", "p95", "p99"))])
+    counted = views.logs(spark, d).where("latency_ms IS NOT NULL").groupBy("operation", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    return _round(group_percentiles(counted, ["operation"], "latency_ms", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), 6, "p50", "p95", "p99")
 
 
 @query(

@@ -67,6 +67,24 @@ def parquet_writer(path: str, partition_by: Sequence[str] = ()) -> Callable[[Dat
     return lambda df: df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def parquet_inserter(path: str, template: str = DEFAULT_ID) -> Callable[[DataFrame], None]:
+    """Appends the rows whose id isn't stored yet, so a repeated micro-batch inserts nothing twice.
+
+    Ids lie beside the rows in column id; only that column is read back.
+    """
+
+    def write(df: DataFrame) -> None:
+        rows = df.withColumn("id", render_id(template))
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        stored_ids = df.sparkSession.read.parquet(path).select("id") if there else None
+        order = [c for c in ("window_start", "service", "count", "summary") if c in df.columns] or ["id"]
+        new = first_per_id(rows, "id", order) if stored_ids is None else insert_if_absent(rows, stored_ids, "id", order)
+        new.write.mode("append").parquet(path)
+
+    return write
+
+
 def noop_writer() -> Callable[[DataFrame], None]:
     return lambda df: df.write.format("noop").mode("overwrite").save()
 
@@ -95,14 +113,14 @@ def push_objects(objects: DataFrame, post: Callable[[str], int]) -> DataFrame:
     return objects.select("object").mapInPandas(run, "sent long, existing long, failed long")
 
 
-def http_post(url: str, timeout_s: float = 10.0) -> Callable[[str], int]:
+def http_post(url: str, timeout_s: float = 10.0, api_key: str | None = None) -> Callable[[str], int]:
     """A post function for push_objects over HTTP."""
 
     def post(body: str) -> int:
         import urllib.error
         import urllib.request
 
-        request = urllib.request.Request(url, data=body.encode(), headers={"Content-Type": "application/json"}, method="POST")
+        request = urllib.request.Request(url, data=body.encode(), headers={"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {}), method="POST")
         try:
             with urllib.request.urlopen(request, timeout=timeout_s) as r:
                 return int(r.status)

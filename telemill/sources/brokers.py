@@ -25,15 +25,26 @@ def kafka_options(brokers: list[str], topic: str, group: str | None = None, max_
     return out
 
 
-_SUBSCRIPTIONS = {"exclusive": "Exclusive", "shared": "Shared", "failover": "Failover", "key_shared": "Key_Shared"}
-
-
-def pulsar_options(url: str, topic: str, subscription: str, kind: str = "shared", token: str | None = None, trust_certs: str | None = None) -> dict[str, str]:
-    out = {"service.url": url, "topic": topic, "predefinedSubscription": subscription, "subscriptionType": _SUBSCRIPTIONS[kind.strip().lower()]}
-    if token:
-        out |= {"pulsar.client.authPluginClassName": "org.apache.pulsar.client.impl.auth.AuthenticationToken", "pulsar.client.authParams": f"token:{token}"}
+#: Spellings of the subscription types; any other is shared.
+_SUBSCRIPTIONS = {"exclusive": "Exclusive", "shared": "Shared", "failover": "Failover", "key_shared": "Key_Shared", "keyshared": "Key_Shared", "key-shared": "Key_Shared"}
+
+
+def pulsar_options(
+    url: str, topic: str, subscription: str, kind: str = "shared", token: str | None = None, trust_certs: str | None = None, token_file: str | None = None, allow_insecure: bool = False, queue_size: int | None = None, fail_on_data_loss: bool = True
+) -> dict[str, str]:
+    """Options of the Pulsar source; a token goes before a token file."""
+    if not (url.strip() and topic.strip() and subscription.strip()):
+        raise ValueError("a service URL, a topic and a subscription are needed")
+    out = {"service.url": url, "topic": topic, "predefinedSubscription": subscription, "subscriptionType": _SUBSCRIPTIONS.get(kind.strip().lower(), "Shared"), "failOnDataLoss": str(fail_on_data_loss).lower()}
+    params = f"token:{token}" if token else f"file://{token_file}" if token_file else None
+    if params:
+        out |= {"pulsar.client.authPluginClassName": "org.apache.pulsar.client.impl.auth.AuthenticationToken", "pulsar.client.authParams": params}
     if trust_certs:
         out["pulsar.client.tlsTrustCertsFilePath"] = trust_certs
+    if allow_insecure:
+        out["pulsar.client.tlsAllowInsecureConnection"] = "true"
+    if queue_size:
+        out["pulsar.reader.receiverQueueSize"] = str(queue_size)
     return out
 
 
@@ -62,9 +73,10 @@ def landing_lines(spark: SparkSession, path: str, streaming: bool = False, max_f
     return to_envelopes(text, F.lit("json_logs"), "line", None, F.col("at"))
 
 
-def landing_envelopes(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
-    """Envelopes that a gateway wrote as Parquet."""
+def landing_envelopes(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Envelopes that a gateway wrote as Parquet; bodies above max_bytes are left out, as its receiver would."""
     reader = (spark.readStream if streaming else spark.read).schema(ENVELOPE)
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows if max_bytes is None else within_size(rows, "bytes", max_bytes)

@@ -2,8 +2,8 @@
 
 MESSAGES names the fields that the engine reads; unknown fields are skipped. The
 decoders run as mapInPandas over binary bodies and give typed rows. Bodies that
-don't decode are dropped from the typed rows; `decodable` tells them apart, so that
-a pipeline can pass them on unchanged.
+don't decode give no typed rows; decode_or_pass hands them on beside the typed
+rows, from the same pass.
 """
 
 from __future__ import annotations
@@ -268,6 +268,37 @@ def decode_bodies(bodies: DataFrame, column: str, message: str) -> DataFrame:
     return bodies.select(column).mapInPandas(run, schema)
 
 
+def decode_or_pass(envelopes: DataFrame, message: str, keep: tuple[str, ...] = ("attrs", "ts_unix"), skip: Column | None = None) -> DataFrame:
+    """Typed rows of envelopes with the columns keep and passed: null, or the body itself where it gives no rows.
+
+    Every body is decoded once. Bodies for which skip holds are passed on without a look.
+    """
+    rows_of, schema = _ROWS[message]
+    names = _names(schema)
+    kept = ", ".join(f"{k} {envelopes.schema[k].dataType.simpleString()}" for k in keep)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows: list[tuple] = []
+            for body, skipped, *rest in zip(pdf["bytes"], pdf["__skip"], *[pdf[k] for k in keep]):
+                if body is None:
+                    continue
+                got: list[tuple] = []
+                try:
+                    got = [] if skipped else list(rows_of(bytes(body)))
+                except WireError:
+                    pass
+                rest = [None if isinstance(x, float) and x != x else x for x in rest]
+                rows.extend((*r, *rest, None) for r in got)
+                if not got:
+                    rows.append((*[None] * len(names), *rest, bytes(body)))
+            cells = list(zip(*rows)) if rows else [()] * (len(names) + len(keep) + 1)
+            yield frame({n: list(c) if c else np.empty(0, dtype=object) for n, c in zip([*names, *keep, "passed"], cells)})
+
+    given = envelopes.select("bytes", *keep, (F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)).alias("__skip"))
+    return given.mapInPandas(run, f"{schema}, {kept}, passed binary")
+
+
 def decodable(body: Column, message: str) -> Column:
     """Whether a body is a message of this kind."""
     rows_of = _ROWS[message][0]
