@@ -6,8 +6,9 @@ become marker characters, so that what is left is prose. In the masked text
 every closing mark (with the quotes, brackets and footnotes attached to it) is a
 candidate. Tables of ordered rules decide it: each rule is a pair of regular
 expressions for the text before and after the position and either breaks or
-doesn't; the tables of the document's script are asked first, then the general
-one, and the first rule that matches decides.
+doesn't; the tables of the document's language are asked first, then the general
+one, and the first rule that matches decides. The language is the one whose script
+or, in Latin script, whose function words the text has most of.
 
 Work is per document and row-wise (no shuffle); texts stream through Arrow
 batches, so memory is bounded by a batch. Whole texts are processed.
@@ -15,7 +16,7 @@ batches, so memory is bounded by a batch. Whole texts are processed.
 Defined results: null and empty texts have no sentences; an unclosed
 environment, formula or comment runs to the next blank line or the edge of the
 text; a missing \\begin or \\end of the document means the edge of the text; the
-lang column isn't trusted: the script of the text chooses the tables.
+lang column isn't trusted: the text itself chooses the tables.
 """
 
 from __future__ import annotations
@@ -119,23 +120,34 @@ _MARK_LOW = regex.compile(rf"{_MARKS}(?:[ \u00a0\u202f~]?[»›]|{_CLOSE}|“)*(
 _SP = rf"[\s~{GAP}{DISPLAY}]*"
 _UP = r"[\p{Lu}\p{Lt}]"
 _Q = r"[\"'”’»›」』]*"
-_ABBR_INNER = (  # never at the end of a sentence
-    "e\\.g|i\\.e|et al|cf|Cf|vs|approx|Figs?|figs?|Eqs?|Sec|Tab|Ref|No|Nos|vol|Vol|p|pp|viz|resp|Dr|Prof|Mr|Mrs|Ms|St|ed|eds|ca|incl"
-    "|p\\.\\s?ex|c\\.-à-d|env|Mme|Mlle|M|MM|éd|chap|art|tabl|éq"
-    "|z\\.\\s?B|d\\.\\s?h|u\\.\\s?a|bzw|Abb|Nr|S|vgl|Vgl|Kap|Bd|Hr|Fr|sog|bspw|Gl|Tab|zzgl|ggf"
-    "|Sr|Sra|Dra|aprox|núm|pág|págs|p\\.\\s?ej|EE|cap|ec"
-    "|т\\.\\s?е|ок|табл|рис|см|стр|ср|проф|др|им|ул|акад|напр|гл|разд|т|с"
-    "|डॉ|श्री|प्रो|चि|सं|ดร|รศ|ผศ|ศ|นพ|พญ"
-)
-_ABBR_EITHER = "etc|a\\.m|p\\.m|usw|Jh|т\\.\\s?д|т\\.\\s?п|г|гг|в|вв|U\\.S|Inc|Ltd|Co|Jr|Bros|млн|млрд|тыс|руб"  # end only before a capital
 _MONTHS = "Jan|Feb|März|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez"
+#: Abbreviations that never end a sentence, in texts of any language and of one.
+_SHARED = "e\\.g|i\\.e|et al|cf|Cf|vs|approx|Figs?|figs?|Eqs?|Sec|Tab|Ref|vol|Vol|viz|resp|Dr|Prof|Mr|Mrs|Ms|St|ed|eds|ca|incl"
+_INNER = {
+    "en": "",
+    "fr": "p\\.\\s?ex|c\\.-à-d|env|Mme|Mlle|M|MM|éd|chap|art|tabl|éq|p|pp|No|Nos",
+    "de": "z\\.\\s?B|d\\.\\s?h|u\\.\\s?a|bzw|Abb|Nr|S|vgl|Vgl|Kap|Bd|Hr|Fr|sog|bspw|Gl|zzgl|ggf|p|pp",
+    "es": "Sr|Sra|Dra|aprox|núm|pág|págs|p\\.\\s?ej|EE|cap|ec|p|pp",
+    "cyrl": "т\\.\\s?е|ок|табл|рис|см|стр|ср|проф|др|им|ул|акад|напр|гл|разд|т|с",
+    "deva": "डॉ|श्री|प्रो|चि|सं",
+    "thai": "ดร|รศ|ผศ|ศ|นพ|พญ",
+    "east": "",
+}
+#: Words that abbreviate only before a number: No. 5, pp. 3-4.
+_NUMBERED = "No|Nos|p|pp"
+#: English words that open a sentence: after a single capital they show that it wasn't an initial.
+_OPENERS = "The|This|These|Those|That|There|Then|Thus|They|It|Its|In|If|We|Our|He|She|His|Her|A|An|And|As|At|But|By|For|From|Here|Hence|However|Later|Moreover|Next|On|To|When|Where|While|With"
+#: What a text of a language holds most of: fixed words between blanks.
+_FUNCTION_WORDS = {"en": ("the", "of", "and", "is", "that", "we"), "fr": ("les", "des", "est", "une", "dans", "et"), "de": ("der", "und", "die", "ist", "das", "wir"), "es": ("los", "una", "del", "las", "es", "y")}
+_ABBR_EITHER = "etc|a\\.m|p\\.m|usw|Jh|т\\.\\s?д|т\\.\\s?п|г|гг|в|вв|U\\.S|Inc|Ltd|Co|Jr|Bros|млн|млрд|тыс|руб"  # end only before a capital
 _Rule = tuple[bool, str | None, str | None]
 GENERAL: list[_Rule] = [
     (False, rf"\p{{Nd}}[.．]$", r"\p{Nd}"),  # decimals, versions
     (True, r"\p{Ll}{2}\.$", r"\p{Lu}\p{Ll}"),  # the blank between two sentences is missing
     (False, r"(?<!\p{L})z\.$", r"[\s~]*B\."),
     (False, r"[.．]$", r"[\p{L}\p{Nd}_]"),  # inside abbreviations, names of files
-    (False, rf"(?<![\p{{L}}\p{{M}}.])(?:{_ABBR_INNER})\.$", rf"(?!{_SP}(?:{HARD}|\Z))"),
+    (False, rf"(?<![\p{{L}}\p{{M}}.])(?:{_SHARED})\.$", rf"(?!{_SP}(?:{HARD}|\Z))"),
+    (False, rf"(?<![\p{{L}}\p{{M}}.])(?:{_NUMBERED})\.$", rf"{_SP}(?:[\p{{Nd}}{ATOM}]|[ivxlcIVXLC]+\b)"),
     (False, rf"(?<![\p{{L}}\p{{M}}.])(?:{_ABBR_EITHER})\.$", rf"{_SP}(?!\p{{Ll}}\p{{Lu}})[^\s~{GAP}{DISPLAY}\p{{Lu}}{ATOM}{HARD}«„“‘`¿¡(\[]"),
     (False, rf"(?<!\p{{L}})\p{{Lu}}\.$", rf"{_SP}\p{{Lu}}\p{{Ll}}"),  # initials
     (False, rf"(?<!\p{{L}})\p{{Lu}}\.$", rf"[\s~]*(?:-|\p{{Lu}}\.)"),
@@ -162,7 +174,17 @@ THAI: list[_Rule] = [
 CYRILLIC: list[_Rule] = [
     (False, r"(?<!\p{L})\p{Lu}\.$", rf"{_SP}\p{{Lu}}\p{{Ll}}"),
 ]
-_TABLES = {"east": EAST_ASIAN, "deva": DEVANAGARI, "thai": THAI, "cyrl": CYRILLIC, "latn": []}
+ENGLISH: list[_Rule] = [
+    (True, r"(?<!\p{L})\p{Lu}\.$", rf"{_SP}(?:{_OPENERS})\b(?![.-])"),  # a letter as a name: vitamin C
+]
+
+
+def _abbreviations(language: str) -> list[_Rule]:
+    words = _INNER[language]
+    return [(False, rf"(?<![\p{{L}}\p{{M}}.])(?:{words})\.$", rf"(?!{_SP}(?:{HARD}|\Z))")] if words else []
+
+
+_TABLES = {"east": EAST_ASIAN, "deva": DEVANAGARI, "thai": THAI, "cyrl": CYRILLIC, "en": ENGLISH, "fr": [], "de": [], "es": []}
 
 
 def _compile(table: list[_Rule]) -> list[tuple[bool, object, object]]:
@@ -170,7 +192,9 @@ def _compile(table: list[_Rule]) -> list[tuple[bool, object, object]]:
     return [(b, regex.compile("(?r)" + x) if x else None, regex.compile(y) if y else None) for b, x, y in table]
 
 
-RULES = {name: _compile(table + GENERAL) for name, table in _TABLES.items()}
+#: The general rules up to the abbreviations stand before those of a language.
+_FIRST = 4
+RULES = {name: _compile((table if name != "en" else []) + GENERAL[:_FIRST] + (table if name == "en" else []) + _abbreviations(name) + GENERAL[_FIRST:]) for name, table in _TABLES.items()}
 #: Code point ranges of the scripts that have their own tables.
 _SCRIPTS = {"east": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF)), "deva": ((0x0900, 0x097F),), "thai": ((0x0E00, 0x0E7F),), "cyrl": ((0x0400, 0x052F),)}
 _THAI_SPACE = regex.compile(r"(?<=[\p{Thai}])[ \t]+(?=\p{Thai})|(?<=\p{Thai})[ \t]*\n[ \t]*(?=\p{Thai})")
@@ -180,13 +204,16 @@ _PARTS = regex.compile(f"[^{HARD}]+")
 _LEAD = regex.compile(rf"[\s~{GAP}{DISPLAY}{CLOSER}]*")
 
 
-def script_of(masked: str) -> str:
-    """The script whose rule tables a text needs."""
+def language_of(masked: str) -> str:
+    """The language, or the script of languages that have one of their own, whose rule tables a text needs."""
     points = np.frombuffer(masked.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = {name: int(sum(((points >= lo) & (points <= hi)).sum() for lo, hi in ranges)) for name, ranges in _SCRIPTS.items()}
     best = max(n, key=n.get)
     latin = int((((points | 32) >= 97) & ((points | 32) <= 122)).sum() + ((points >= 0xC0) & (points <= 0x24F)).sum())
-    return best if n[best] * 4 > latin and n[best] else "latn"
+    if n[best] * 4 > latin and n[best]:
+        return best
+    held = {name: sum(masked.count(f" {w} ") for w in words) for name, words in _FUNCTION_WORDS.items()}
+    return max(held, key=held.get)  # English where nothing speaks for another
 
 
 def _decide(rules: list, s: str, at: int) -> bool:
@@ -218,12 +245,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
     if not text:
         return []
     masked = mask(text)
-    script = script_of(masked)
-    rules, out = RULES[script], []
+    language = language_of(masked)
+    rules, out = RULES[language], []
     for part in _PARTS.finditer(masked):
         s, base = part[0], part.start()
         ends = [m.span() for m in (_MARK_LOW if "„" in s else _MARK).finditer(s)]
-        if script == "thai":
+        if language == "thai":
             ends = sorted(ends + [(m.start(), m.start()) for m in _THAI_SPACE.finditer(s)])
         start = _LEAD.match(s).end()
         for mark, end in ends:
