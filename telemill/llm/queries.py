@@ -64,8 +64,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reported.alias("r")
     judged = r.join(counts, same(r, counts), "left").select(*[r[c] for c in reported.columns], F.coalesce(counts["users"], F.lit(0.0)).alias("users"), F.coalesce(counts["rel_error"], F.lit(0.0)).alias("rel_error"))
     off = F.abs(F.col("reported") - F.col("users"))
-    # Within six standard errors of the limit (and half a user) the sketch can't decide; an exact recount of those groups follows.
-    unsure = F.col("reported").isNotNull() & (F.abs(off - 0.1 * F.col("users")) <= 6 * F.col("rel_error") * F.col("users") + 0.5)
+    # Within six standard errors of the limit (and one collision of two users) the sketch can't decide; an exact recount of those groups follows.
+    unsure = F.col("reported").isNotNull() & (F.abs(off - 0.1 * F.col("users")) <= 6 * F.col("rel_error") * F.col("users") + 1.5)
     judged = cut_lineage(judged.withColumn("unsure", unsure).withColumn("wrong", F.col("reported").isNull() | (off > 0.1 * F.col("users"))))
     doubtful = judged.where("unsure").select(*groups).distinct()
     combos = [x["combo"] for x in doubtful.select("combo").distinct().limit(8).collect()]
@@ -89,6 +89,20 @@ def _recount(rows: DataFrame, wanted: DataFrame, combos: list[int], groups: list
     return wide.join(w, on, "left_semi").groupBy(*groups).agg(F.count_distinct("user").alias("exact_users"))
 
 
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day, combo, n_groups, n_beyond: groups of every combination, and those whose estimate is off by more than six standard errors and one collision."""
+    rows = _user_rows(spark, sf_dir)
+    users = rows.groupBy("day", *DIMS, "user").agg(F.lit(1).alias("one")).drop("one")
+    wide = users.withColumn("combo", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(DIMS) - 1))))
+    kept = [(F.col("combo").bitwiseAND(F.lit(1 << b)) == 0) | F.col(d).isNotNull() for b, d in enumerate(DIMS)]
+    wide = wide.where(kept[0] & kept[1] & kept[2]).withColumns({d: F.when(F.col("combo").bitwiseAND(F.lit(1 << b)) != 0, F.col(d)) for b, d in enumerate(DIMS)})
+    exact = wide.groupBy("day", "combo", *DIMS).agg(F.count_distinct("user").alias("n"))
+    found = p1_distinct_users(spark, sf_dir)
+    same = [exact[g].eqNullSafe(found[g]) for g in ["day", "combo", *DIMS]]
+    beyond = found["users"].isNull() | (F.abs(found["users"] - exact["n"]) > 6 * found["rel_error"] * exact["n"] + 1.5)
+    return exact.join(found, same, "left").groupBy(exact["day"], exact["combo"]).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(beyond).alias("n_beyond"))
+
+
 # 2. Most frequent items
 
 
@@ -131,6 +145,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(candidates, ["event_day", "field", "item"]).where(F.col("n") * 100 >= F.col("total")).select("event_day", "field", "item")
 
 
+def p2_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_day, field, total, n_missing, n_outside: items above 1 percent that the sketch misses, and true counts outside its bounds."""
+    records = _records(spark, sf_dir)
+    both = F.array(F.struct(F.lit("endpoint").alias("field"), F.col("endpoint").alias("item")), F.struct(F.lit("user_id").alias("field"), F.col("user_id").alias("item")))
+    cells = records.select(F.col("event_day").cast("long").alias("event_day"), F.inline(both)).groupBy("event_day", "field", "item").agg(F.count(F.lit(1)).alias("n"))
+    totals = cells.groupBy("event_day", "field").agg(F.sum("n").alias("all"))
+    found = _top_items(records)
+    joined = cells.where("item IS NOT NULL").join(totals, ["event_day", "field"]).join(found, ["event_day", "field", "item"], "left")
+    missing, outside = F.col("total").isNull() & (F.col("n") * 100 >= F.col("all")), F.col("total").isNotNull() & ~(F.col("n").between(F.col("at_least"), F.col("at_most")) & (F.col("total") == F.col("all")))
+    return joined.groupBy("event_day", "field").agg(F.max("all").alias("total"), F.count_if(missing).alias("n_missing"), F.count_if(outside).alias("n_outside"))
+
+
 # 6. Similar vectors
 
 
@@ -176,6 +202,20 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, texts, n_over, n_gaps, n_split: packs above the capacity, texts that aren't packed whole and once, texts split that fit."""
+    packs = p8_packs(spark, sf_dir)
+    names = F.broadcast(table(spark, sf_dir, "pack_sizes").where("capacity_tokens > 0").select("pack_name", "capacity_tokens"))
+    over = packs.groupBy("pack_name", "pack_id").agg(F.sum("tokens").alias("t")).join(names, "pack_name").groupBy("pack_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"))
+    pieces = packs.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("token_start") + F.col("tokens")).alias("end"), F.count_distinct("token_start").alias("starts"))
+    sizes = _token_counts(spark, sf_dir).where("tokens > 0")
+    packed = [r["pack_name"] for r in all_rows(names, 100)]
+    whole = (F.col("t") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("starts") == F.col("n"))
+    every = sizes.withColumn("pack_name", F.explode(F.array(*[F.lit(n) for n in packed]))).join(names, "pack_name").join(pieces, ["pack_name", "doc_id"], "left")
+    texts = every.groupBy("pack_name").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_gaps"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_split"))
+    return texts.join(over, "pack_name").select("pack_name", "texts", "n_over", "n_gaps", "n_split")
+
+
 # 9. Mixing
 
 
@@ -189,6 +229,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "source_targets"))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, available, n_over, n_twice, off_target: texts of every target, rows above the cap, rows of one text, shares off by more than half a percent."""
+    mixed, targets = cut_lineage(p9_mix(spark, sf_dir)), table(spark, sf_dir, "source_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    got = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("repeats").alias("repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("t"))
+    got = got.join(F.broadcast(targets.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n_over"), F.count_if(F.col("rows") > 1).alias("n_twice"), F.sum("t").alias("t"))
+    there = table(spark, sf_dir, "documents").where("text <> '' AND doc_id IS NOT NULL").groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("available"))
+    joined = targets.join(there, "source", "left").join(got, "source", "left").na.fill(0)
+    all_t, all_w = F.sum("t").over(Window.partitionBy()), F.sum(F.when(F.col("available") > 0, F.col("target_share"))).over(Window.partitionBy())
+    off = F.when(F.col("available") > 0, F.abs(F.col("t") / all_t - F.col("target_share") / all_w) > 0.005).otherwise(F.col("t") > 0)
+    return joined.select("source", "available", "n_over", "n_twice", off.alias("off_target"))
+
+
 # 10. Sentences
 
 
@@ -202,6 +254,17 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("n_chars"))
 
 
+def p10_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_outside, n_overlapping, n_blank: sentences that leave their text, reach into the one before, or begin or end with a blank."""
+    found = p10_found(spark, sf_dir)
+    before = F.lag("sent_end").over(Window.partitionBy("doc_id").orderBy("sent_start", "sent_end"))
+    text = F.col("text")
+    at = lambda i: F.substring(text, i.cast("int"), F.lit(1))
+    blank = at(F.col("sent_start") + 1).rlike(r"^\s$") | at(F.col("sent_end")).rlike(r"^\s$")
+    joined = found.withColumn("before", before).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return joined.agg(F.count_if((F.col("sent_start") < 0) | (F.col("sent_end") > F.length(text)) | (F.col("sent_start") >= F.col("sent_end"))).alias("n_outside"), F.count_if(F.col("before") > F.col("sent_start")).alias("n_overlapping"), F.count_if(blank).alias("n_blank"))
+
+
 _LOGS_SQL = """l AS (SELECT log_id, ts_unix, coalesce(event_ts::DATE, make_timestamp(ts_unix * 1000000)::DATE) AS day, coalesce(nullif(service, ''), 'unknown') AS svc, env, operation,
   coalesce(nullif(lower(trim(user_id)), ''), nullif(lower(trim(account_id)), '')) AS usr, nullif(regexp_replace(split_part(lower(endpoint), '?', 1), '/$', ''), '') AS endpoint, nullif(lower(trim(user_id)), '') AS user_id FROM log_events)"""
 
@@ -218,6 +281,19 @@ ORACLE_SQL = {
     "p6_found": """WITH g AS (SELECT vec_id, vector::DOUBLE[128] AS v FROM aggregate_vectors WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
       p AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM g a JOIN g b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p)
       SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5 AND c >= 0.9""",
+    "p1_errors": f"""WITH {_LOGS_SQL}, u AS (SELECT day, svc, env, operation FROM l WHERE usr IS NOT NULL AND day IS NOT NULL), x AS (SELECT day, svc, env, operation, unnest(range(0, 8)) AS combo FROM u),
+      g AS (SELECT DISTINCT day, combo, CASE WHEN combo & 1 <> 0 THEN svc END AS a, CASE WHEN combo & 2 <> 0 THEN env END AS b, CASE WHEN combo & 4 <> 0 THEN operation END AS c FROM x
+            WHERE (combo & 1 = 0 OR svc IS NOT NULL) AND (combo & 2 = 0 OR env IS NOT NULL) AND (combo & 4 = 0 OR operation IS NOT NULL))
+      SELECT day, combo::INT AS combo, count(*) AS n_groups, 0::BIGINT AS n_beyond FROM g GROUP BY ALL""",
+    "p2_bounds": f"""WITH {_LOGS_SQL}, o AS (SELECT DISTINCT ON (log_id) * FROM l ORDER BY log_id, ts_unix), v AS (SELECT day, 'endpoint' AS field, endpoint AS item FROM o UNION ALL SELECT day, 'user_id', user_id FROM o)
+      SELECT (year(day) * 10000 + month(day) * 100 + day(day))::BIGINT AS event_day, field, count(*) AS total, 0::BIGINT AS n_missing, 0::BIGINT AS n_outside FROM v GROUP BY ALL HAVING count(item) > 0""",
+    "p8_cover": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps, 0::BIGINT AS n_split FROM pack_sizes WHERE capacity_tokens > 0",
+    "p9_checks": """WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS source, count(*) AS available FROM documents WHERE text <> '' GROUP BY ALL)
+      SELECT replace(lower(trim(t.source)), '-', '_') AS source, coalesce(available, 0) AS available, 0::BIGINT AS n_over, 0::BIGINT AS n_twice, false AS off_target FROM source_targets t LEFT JOIN d ON d.source = replace(lower(trim(t.source)), '-', '_')""",
+    "p10_checks": "SELECT 0::BIGINT AS n_outside, 0::BIGINT AS n_overlapping, 0::BIGINT AS n_blank",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_distinct_users, p2_found, p2_top_items, p6_found, p6_neighbours, p8_packs, p8_usage, p9_mix, p9_shares, p10_found, p10_lengths)}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_distinct_users, p1_errors, p2_found, p2_top_items, p2_bounds, p6_found, p6_neighbours, p8_packs, p8_usage, p8_cover, p9_mix, p9_shares, p9_checks, p10_found, p10_lengths, p10_checks)
+}
