@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from telemill.functions.percentiles import group_percentiles
 from telemill.operators import forest, logs, metrics, otlp_logs, series, spans, vectors
 from telemill.schema import DURATION_BOUNDS
 from telemill.sinks import stores
-from telemill.sources import codecs, landing, otlp, views
-from telemill.session import table
+from telemill.sources import brokers, codecs, landing, otlp, views
+from telemill.session import ensure_checkpoint_dir, table
 
 DAY = 86_400
 QUERIES: dict = {}
@@ -177,13 +179,15 @@ def s8_gzip_decode(spark: SparkSession, d: str) -> DataFrame:
     return _decoded(spark, d, "gzip")
 
 
-@query("SELECT envelope_id, octet_length(bytes) AS n, md5(decode(bytes)) AS h FROM envelopes WHERE kind = 'json_logs'")
+@query("SELECT envelope_id, octet_length(bytes) * 2 AS n, md5(decode(bytes) || decode(bytes)) AS h FROM envelopes WHERE kind = 'json_logs'")
 def s9_snappy_decode(spark: SparkSession, d: str) -> DataFrame:
     return _decoded(spark, d, "snappy")
 
 
 def _decoded(spark: SparkSession, d: str, encoding: str) -> DataFrame:
     e = table(spark, d, "envelopes").where("kind = 'json_logs'")
+    if encoding == "snappy":  # every body twice, so that blocks hold copies
+        e = e.withColumn("bytes", F.concat("bytes", "bytes"))
     body = codecs.decode_body(F.col("packed"), F.lit(encoding))
     return e.withColumn("packed", codecs.encode_body(F.col("bytes"), encoding)).select("envelope_id", body.alias("b")).select("envelope_id", F.octet_length("b").cast("long").alias("n"), F.md5("b").alias("h"))
 
@@ -445,6 +449,27 @@ def v11_hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.posexplode("v").alias("idx", "weight")).where("weight <> 0").select("doc_id", "idx", F.col("weight").cast("long").alias("weight"))
 
 
+_TEXT_SQL = f"""concat_ws(' ', 'service=' || service, 'window=' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '/' || strftime(make_timestamp(window_end * 1000000), '%Y-%m-%dT%H:%M:%SZ'),
+{", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("rps", "error_rate", "p50", "p95", "p99"))}, 'count=' || count)"""
+_LOG_SQL = """concat_ws(' ', 'kind=log', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, 'env=' || nullif(labels['env'], ''), 'success=' || CASE WHEN error_rate > 0 THEN 'false' ELSE 'true' END, 'summary=' || nullif(summary, ''))"""
+_SPAN_SQL = f"""concat_ws(' ', 'kind=trace', 'service=' || service, 'ts_start=' || window_start, 'ts_end=' || window_end, {", ".join(f"'{c}=' || {_FIXED_SQL.format(c)}" for c in ("p50", "p95", "p99", "rps", "error_rate"))}, 'summary=' || nullif(summary, ''))"""
+
+
+@query(
+    f"""WITH {_WHOLE_SQL}, s AS (SELECT *, lower(coalesce(labels['source'], '')) AS src FROM agg), v AS (SELECT agg_id, {_V4_SQL} AS v FROM s WHERE src = 'metrics'), p AS (SELECT agg_id, [{_PCA_ROWS}] AS p FROM v),
+t AS (SELECT agg_id, CASE src WHEN 'logs' THEN {_LOG_SQL} WHEN 'traces' THEN {_SPAN_SQL} ELSE CASE WHEN trim(coalesce(summary, '')) <> '' THEN summary ELSE {_TEXT_SQL} END END AS text FROM s WHERE src <> 'metrics'),
+k AS (SELECT agg_id, list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> '') AS toks FROM t), g AS (SELECT agg_id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || '_' || toks[i + 1]))) AS token FROM k),
+n AS (SELECT agg_id, token, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT token, lower(hex(encode(token))) AS hx, lower(hex(encode('sign:' || token))) AS hs FROM (SELECT DISTINCT token FROM g)),
+h AS (SELECT token, ({_FNV_A} % 384)::INT AS idx, CASE WHEN {_FNV_1} % 2 = 1 THEN -1 ELSE 1 END AS sign FROM u), w AS (SELECT agg_id, idx, sum(n * sign)::DOUBLE AS x FROM n JOIN h USING (token) GROUP BY ALL),
+z AS (SELECT agg_id, idx::INT AS i, x / sqrt(sum(x * x) OVER (PARTITION BY agg_id)) AS x FROM w WHERE x <> 0)
+SELECT agg_id, i, round(x, 4) AS x FROM z UNION ALL SELECT agg_id, (i - 1)::INT, round(p[i] / sqrt(p[1] * p[1] + p[2] * p[2]), 4) FROM p, range(1, 3) r(i)"""
+)
+def v1_vector_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The components of v1_vectorize that aren't 0; of numeric vectors all."""
+    v = v1_vectorize(spark, d).select("agg_id", F.lower("source").alias("source"), F.posexplode("vector").alias("i", "x"))
+    return v.where("x <> 0 OR source = 'metrics'").select("agg_id", "i", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+
+
 @query()
 def v1_vectorize(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors.vectorize(table(spark, d, "aggregates"), include=["env"], pca_model=vectors.load_pca({"pca_inline": _PCA}))
@@ -592,10 +617,9 @@ def d4_otlp_logs(spark: SparkSession, d: str) -> DataFrame:
 # Sinks
 
 
-@query("SELECT service || ':' || window_start || ':' || coalesce(labels['env'], '') AS id, count(*) AS n FROM aggregates WHERE service IS NOT NULL GROUP BY ALL")
+@query("SELECT coalesce(service, '') || ':' || window_start || ':' || coalesce(labels['env'], '') AS id, count(*) AS n FROM aggregates GROUP BY ALL")
 def k2_id_template(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "aggregates").where("service IS NOT NULL")
-    return rows.groupBy(stores.render_id("{{.Service}}:{{.WindowStart}}:{{.Labels.env}}").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "aggregates").groupBy(stores.render_id("{{.Service}}:{{.WindowStart}}:{{.Labels.env}}").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -608,7 +632,116 @@ def k3_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return stores.insert_if_absent(rows.select("id", "agg_id", F.col("count").alias("n")), stored, "id", ["agg_id"])
 
 
-@query("SELECT service || ':' || window_start AS id, 'Agg' AS class, count AS n FROM aggregates WHERE service IS NOT NULL")
+_OBJECT_SQL = ", ".join(f"CASE WHEN isfinite({m}) THEN round({m}, 9) END AS {m}" for m in ("rps", "error_rate", "p50", "p95", "p99", "anomaly_score"))
+
+
+@query(f"SELECT coalesce(service, '') || ':' || window_start AS id, 'Agg' AS class, agg_id, count AS n, window_end, labels['env'] AS env, summary, {_OBJECT_SQL} FROM aggregates")
 def k1_vector_objects(spark: SparkSession, d: str) -> DataFrame:
-    o = stores.vector_objects(table(spark, d, "aggregates").where("service IS NOT NULL").drop("rps", "error_rate", "p50", "p95", "p99", "anomaly_score"), "Agg")
-    return o.select("id", F.get_json_object("object", "$.class").alias("class"), F.get_json_object("object", "$.properties.count").cast("long").alias("n"))
+    o = stores.vector_objects(table(spark, d, "aggregates"), "Agg")
+    at = lambda k: F.get_json_object("object", f"$.properties.{k}")
+    measures = [F.round(at(m).cast("double"), 9).alias(m) for m in ("rps", "error_rate", "p50", "p95", "p99", "anomaly_score")]
+    return o.select(F.get_json_object("object", "$.id").alias("id"), F.get_json_object("object", "$.class").alias("class"), at("agg_id").cast("long").alias("agg_id"), at("count").cast("long").alias("n"), at("window_end").cast("long").alias("window_end"), at("labels.env").alias("env"), at("summary").alias("summary"), *measures)
+
+
+@query("SELECT s.sink, count(*) AS n, count(DISTINCT agg_id) AS n_ids, sum(count)::BIGINT AS total FROM aggregates, (SELECT unnest(['first', 'second']) AS sink) s GROUP BY ALL")
+def k4_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """One batch to two stores, read back from both."""
+    root = f"{ensure_checkpoint_dir(spark)}/fan-out-{uuid.uuid4().hex}"
+    stores.fan_out(table(spark, d, "aggregates"), [stores.parquet_writer(f"{root}/first"), stores.parquet_writer(f"{root}/second", ["service"])])
+    read = [spark.read.parquet(f"{root}/{n}").select(F.lit(n).alias("sink"), "agg_id", "count") for n in ("first", "second")]
+    return landing.fan_in(*read).groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("agg_id").alias("n_ids"), F.sum("count").alias("total"))
+
+
+# Operators without a query of their own so far
+
+
+def _nested_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Every counter point as a nested request with a sum, a histogram and a gauge."""
+    p = views.counter_points(spark, d)
+    attrs = F.transform(F.map_entries("labels"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    even = F.col("event_id") % 2 == 0
+    number = F.struct(attrs.alias("attributes"), F.when(even, F.col("value").cast("long")).alias("as_int"), F.when(~even, F.col("value") + 0.5).alias("as_double"), "time_unix_nano")
+    bucket = F.struct(attrs.alias("attributes"), F.col("bounds").alias("explicit_bounds"), F.col("counts").alias("bucket_counts"), "time_unix_nano")
+    sums, hist = F.struct(F.lit(2).alias("temporality"), F.array(number).alias("points")), F.struct(F.lit(1).alias("temporality"), F.array(bucket).alias("points"))
+    metric = lambda name, kind, s, h: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), s.alias("sum"), h.alias("histogram"))
+    none = lambda x: F.when(F.lit(False), x)
+    metrics_of = F.array(metric("hits_requests_total", "sum", sums, none(hist)), metric("hits_seconds", "histogram", none(sums), hist), metric("load", "gauge", none(sums), none(hist)))
+    resource = F.struct(F.col("resource").alias("attributes"))
+    return p.select("event_id", F.array(F.struct(resource.alias("resource"), F.array(F.struct(metrics_of.alias("metrics"))).alias("scope_metrics"))).alias("resource_metrics"))
+
+
+@query(
+    f"""WITH {views.COUNTERS_SQL}, k AS (SELECT *, unnest(['sum', 'histogram', 'gauge']) AS kind FROM counters)
+SELECT service, kind, CASE kind WHEN 'sum' THEN 2 WHEN 'histogram' THEN 1 END AS temporality, CASE WHEN kind <> 'gauge' THEN event_type END AS type, CASE WHEN kind <> 'gauge' THEN t END AS t,
+CASE WHEN kind = 'sum' THEN v + (event_id % 2) * 0.5 END AS value, CASE WHEN kind = 'histogram' THEN b1 END AS middle, CASE WHEN kind = 'histogram' THEN 50.0::DOUBLE END AS bound FROM k"""
+)
+def p5_unnest_points(spark: SparkSession, d: str) -> DataFrame:
+    p = metrics.unnest(_nested_metrics(spark, d))
+    return p.select(F.col("resource")["service.name"].alias("service"), "kind", "temporality", F.col("labels")["type"].alias("type"), F.col("time_unix_nano").alias("t"), "value", F.col("counts")[1].alias("middle"), F.col("bounds")[0].alias("bound"))
+
+
+@query(f"WITH {views.COUNTERS_SQL} SELECT event_id, v + (event_id % 2) * 0.5 AS value FROM counters")
+def p14_point_value(spark: SparkSession, d: str) -> DataFrame:
+    nested = _nested_metrics(spark, d)
+    one = metrics.unnest(nested.withColumn("resource_metrics", F.transform("resource_metrics", lambda r: r.withField("resource.attributes", F.map_from_arrays(F.array(F.lit("id")), F.array(F.col("event_id").cast("string")))))))
+    return one.where("kind = 'sum'").select(F.col("resource")["id"].cast("long").alias("event_id"), "value")
+
+
+@query("SELECT DISTINCT 'svc-' || (user_id % 5) AS service, (epoch_us(ts) // 86400000000) * 86400 AS window_start, 0::BIGINT AS count, 0.0::DOUBLE AS rps, 0.0::DOUBLE AS error_rate, 0.0::DOUBLE AS p99 FROM events")
+def a20_zero_rows(spark: SparkSession, d: str) -> DataFrame:
+    gauges = views.counter_points(spark, d).withColumns({"kind": F.lit("other"), "value": F.lit(None).cast("double"), "bounds": F.lit(None).cast("array<double>"), "counts": F.lit(None).cast("array<long>")})
+    return metrics.summarize_points(gauges, DAY).select("service", "window_start", "count", "rps", "error_rate", "p99")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN 2 THEN user_id || '.0' WHEN 3 THEN '2.5' WHEN 4 THEN '["' || event_type || '", ' || user_id || '.0]'
+WHEN 5 THEN '{"a": {"b": "' || event_type || '"}, "c": null}' ELSE lower(hex(encode(event_type))) END AS body FROM events"""
+)
+def d6_any_value(spark: SparkSession, d: str) -> DataFrame:
+    def build(r: dict) -> dict:
+        kind, name, user = r["event_id"] % 7, r["event_type"], r["user_id"]
+        body = ({"string": name}, {"bool": user % 2 == 0}, {"int": user}, {"double": 2.5}, {"array": {"values": [{"string": name}, {"int": user}]}}, {"kvlist": {"values": [{"key": "a", "value": {"kvlist": {"values": [{"key": "b", "value": {"string": name}}]}}}, {"key": "c"}]}}, {"bytes": name.encode()})[kind]
+        return {"resource_logs": [{"scope_logs": [{"records": [{"time": r["event_id"], "body": body}]}]}]}
+
+    rows = otlp.decode_bodies(_encoded(table(spark, d, "events").select("event_id", "event_type", "user_id"), "Logs", build), "bytes", "logs")
+    return rows.select(F.col("time_unix_nano").alias("event_id"), "body")
+
+
+@query("SELECT event_id AS id, event_id % 3 <> 0 AS passed, CASE event_id % 3 WHEN 0 THEN 1 END AS kind FROM events")
+def f9_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies with a span give it, bodies without one and foreign ones go on as they came."""
+
+    def build(r: dict) -> bytes:
+        if r["event_id"] % 3 == 2:
+            return b"\xff" + r["event_type"].encode()
+        spans_of = [{"kind": 1, "start": 5, "end": 6}] if r["event_id"] % 3 == 0 else []
+        return otlp.encode("Traces", {"resource_spans": [{"resource": {"attributes": [_text("service.name", "a")]}, "scope_spans": [{"spans": spans_of}]}]})
+
+    @F.pandas_udf("binary")
+    def make(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([build(r) for r in x.to_dict("records")], dtype=object)
+
+    e = table(spark, d, "events").select("event_id", make(F.struct("event_id", "event_type")).alias("bytes"))
+    rows = otlp.decode_or_pass(e, "traces", ("event_id",))
+    return rows.select(F.col("event_id").alias("id"), F.col("passed").isNotNull().alias("passed"), "kind")
+
+
+@query(
+    r"""WITH x AS (SELECT feed, file_no, unnest(string_split(t, chr(10))) AS line FROM (SELECT feed, file_no, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM raw_logs WHERE raw IS NOT NULL GROUP BY feed, file_no)),
+y AS (SELECT feed, file_no, trim(line, ' ' || chr(9) || chr(13) || chr(10) || chr(12) || chr(11)) AS line FROM x) SELECT feed, file_no::BIGINT AS file_no, md5(line) AS h, count(*) AS n FROM y WHERE line <> '' GROUP BY ALL"""
+)
+def s11_auto_split(spark: SparkSession, d: str) -> DataFrame:
+    """A broker message a file, split into one envelope a line."""
+    raw = table(spark, d, "raw_logs").where("raw IS NOT NULL")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
+    headers = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").cast("binary").alias("value")) for k in ("feed", "file_no")])
+    messages = raw.groupBy("feed", "file_no").agg(F.array_join(lines, "\n").cast("binary").alias("value")).select("value", headers.alias("headers"), F.lit("2024-03-04").cast("timestamp").alias("timestamp"))
+    e = brokers.broker_envelopes(messages, F.lit("logs"), ndjson=True)
+    return e.where("kind = 'json_logs'").groupBy(F.col("attrs")["feed"].alias("feed"), F.col("attrs")["file_no"].cast("long").alias("file_no"), F.md5("bytes").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS ts_unix FROM events")
+def s15_arrival(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "events").select(F.encode(F.col("event_id").cast("string"), "utf-8").alias("value"), F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))).alias("timestamp"))
+    e = brokers.broker_envelopes(messages, F.lit("metrics"))
+    return e.select(F.col("bytes").cast("string").cast("long").alias("event_id"), "ts_unix")

@@ -90,9 +90,10 @@ def noop_writer() -> Callable[[DataFrame], None]:
 
 
 def vector_objects(aggregates: DataFrame, class_name: str, template: str = DEFAULT_ID) -> DataFrame:
-    """id, object: the JSON object of every aggregate row."""
-    props = F.struct(*[c for c in aggregates.columns if c != "vector"])
-    vector = F.col("vector") if "vector" in aggregates.columns else F.lit(None).cast("array<float>")
+    """id, object: the JSON object of every aggregate row. JSON has no NaN: measures that aren't finite and vectors that hold such are left out."""
+    finite = lambda f: F.when(F.abs(f.name) < float("inf"), F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
+    props = F.struct(*[finite(f) for f in aggregates.schema.fields if f.name != "vector"])
+    vector = F.when(F.forall("vector", lambda x: F.abs(x) < float("inf")), F.col("vector")) if "vector" in aggregates.columns else F.lit(None).cast("array<float>")
     return aggregates.select(render_id(template).alias("id"), F.to_json(F.struct(F.lit(class_name).alias("class"), render_id(template).alias("id"), vector.alias("vector"), props.alias("properties"))).alias("object"))
 
 

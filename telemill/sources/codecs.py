@@ -10,6 +10,7 @@ import gzip
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,20 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
 
 def snappy_block_decode(data: bytes) -> bytes:
     """The content of one snappy block; ValueError if it isn't one."""
+    if not pa.Codec.is_available("snappy"):
+        return _snappy_decode(data)
+    try:
+        size, at = _varint(data, 0)
+        if at == len(data):
+            raise ValueError("empty") if size else IndexError
+        return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
+    except IndexError:
+        return _snappy_decode(data)
+    except (pa.ArrowException, OverflowError, MemoryError) as e:
+        raise ValueError("not a block") from e
+
+
+def _snappy_decode(data: bytes) -> bytes:
     try:
         size, at = _varint(data, 0)
         out = bytearray()
@@ -62,7 +77,14 @@ def snappy_block_decode(data: bytes) -> bytes:
 
 
 def snappy_block_encode(data: bytes) -> bytes:
-    """A valid snappy block of literals only, for tests and round trips."""
+    """A snappy block, for tests and round trips; of literals only where the codec isn't built in."""
+    if pa.Codec.is_available("snappy"):
+        return pa.compress(data, codec="snappy", asbytes=True)
+    return snappy_literals(data)
+
+
+def snappy_literals(data: bytes) -> bytes:
+    """A valid snappy block without copies."""
     out, n = bytearray(), len(data)
     while True:
         out.append(n & 0x7F | (0x80 if n > 0x7F else 0))

@@ -20,6 +20,9 @@ from telemill.sources import brokers, codecs, landing, otlp
 @given(st.binary(max_size=400))
 def test_snappy_round_trip(data):
     assert codecs.snappy_block_decode(codecs.snappy_block_encode(data)) == data
+    twice = data * 3  # copies of what came before
+    for block in (codecs.snappy_block_encode(twice), codecs.snappy_literals(twice)):
+        assert codecs.snappy_block_decode(block) == codecs._snappy_decode(block) == twice
 
 
 def test_snappy_copies_and_errors():
