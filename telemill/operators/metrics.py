@@ -47,10 +47,33 @@ def series_key(name: Column, resource: Column, labels: Column) -> Column:
     return F.concat_ws("|", name, F.coalesce(resource["service.name"], F.lit("")), F.array_join(pairs, "|"))
 
 
-def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, out: str = "delta") -> DataFrame:
-    """max(current - previous, 0) along each series; the first point counts in full, a reset counts 0."""
-    before = F.lag(value).over(Window.partitionBy(series).orderBy(*order))
-    return rows.withColumn(out, F.greatest(F.col(value) - F.coalesce(before, F.lit(0.0)), F.lit(0.0)))
+def previous(rows: DataFrame, series: str, time: str, ties: list[str], values: list[str], chunk: int) -> DataFrame:
+    """rows with before: the struct of values of the row before in its series, null for the first.
+
+    A series is walked in chunks of its time; the last row of a chunk is handed to the next one, so a series
+    that holds a third of all rows is as many tasks as chunks.
+    """
+    order = [time, *ties]
+    cut = rows.withColumn("__chunk", F.floor(F.col(time) / chunk)).withColumn("__now", F.struct(*[F.col(v) for v in values]))
+    in_chunk = Window.partitionBy(series, "__chunk").orderBy(*order)
+    walked = cut.withColumns({"__lag": F.lag("__now").over(in_chunk), "__last": F.lead("__now").over(in_chunk).isNull()})
+    lasts = walked.where("__last").select(F.col(series).alias("__s"), F.col("__chunk").alias("__c"), "__now")
+    carried = lasts.select("__s", "__c", F.lag("__now").over(Window.partitionBy("__s").orderBy("__c")).alias("__carried")).where("__carried IS NOT NULL")
+    joined = walked.join(carried, F.col(series).eqNullSafe(F.col("__s")) & F.col("__chunk").eqNullSafe(F.col("__c")), "left")
+    return joined.select(*rows.columns, F.coalesce("__lag", "__carried").alias("before"))
+
+
+#: Length of a chunk of a series, in the units of its time (nanoseconds of a day).
+DAY_NANOS = 86_400 * 10**9
+
+
+def counter_delta(rows: DataFrame, series: str, order: list[str], value: str, out: str = "delta", chunk: int = DAY_NANOS) -> DataFrame:
+    """max(current - previous, 0) along each series; the first point counts in full, a reset counts 0.
+
+    order: time and tie-breaks; chunk in the units of that time.
+    """
+    walked = previous(rows, series, order[0], order[1:], [value], chunk)
+    return walked.withColumn(out, F.greatest(F.col(value) - F.coalesce(F.col("before")[value], F.lit(0.0)), F.lit(0.0))).drop("before")
 
 
 def to_delta(points: DataFrame, slot=None) -> DataFrame:
@@ -64,11 +87,10 @@ def to_delta(points: DataFrame, slot=None) -> DataFrame:
         keyed = keyed if before is None else keyed.unionByName(before)
         last = F.max_by(F.struct(*[c for c in keyed.columns if c != "__old"], F.lit(True).alias("__old")), F.coalesce(F.col("time_unix_nano").cast("long"), F.lit(-(2**63))))
         slot.put(keyed.groupBy(F.col("series").alias("__series")).agg(last.alias("p")).select("p.*"))
-    w = Window.partitionBy("series").orderBy("time_unix_nano")
-    before, counts_before = F.lag("value").over(w), F.lag("counts").over(w)
-    total = F.col("temporality") == 2
-    bucket = F.transform("counts", lambda c, i: F.greatest(c - F.coalesce(F.try_element_at(counts_before, i + 1), F.lit(0)), F.lit(0)))
-    made = keyed.withColumns({"value": F.when(total, F.greatest(F.col("value") - F.coalesce(before, F.lit(0.0)), F.lit(0.0))).otherwise(F.col("value")), "counts": F.when(total, bucket).otherwise(F.col("counts"))}).drop("series")
+    walked = previous(keyed, "series", "time_unix_nano", [], ["value", "counts"], DAY_NANOS)
+    before, total = F.col("before"), F.col("temporality") == 2
+    bucket = F.transform("counts", lambda c, i: F.greatest(c - F.coalesce(F.try_element_at(before["counts"], i + 1), F.lit(0)), F.lit(0)))
+    made = walked.withColumns({"value": F.when(total, F.greatest(F.col("value") - F.coalesce(before["value"], F.lit(0.0)), F.lit(0.0))).otherwise(F.col("value")), "counts": F.when(total, bucket).otherwise(F.col("counts"))}).drop("series", "before")
     return made if slot is None else made.where(~F.col("__old")).drop("__old")
 
 

@@ -11,16 +11,20 @@ carry the same content are renames, the others are removed or added.
 Scale: lines are aggregated to profiles with map-side combine (a hot feed or
 file is many partial aggregates, not one task); comparisons group by (feed,
 file), whose profiles are bounded, since a field belongs to a file only if at
-least half of its lines hold it. Renames follow each other along a feed in a
-task over its change rows only. The unified table is one join of lines with
-the small mapping of their file.
+least half of its lines hold it. Renames are linked to the one before of their
+key by a window over (feed, key) and led back to their field by pointer doubling;
+a window over (feed, field) tells every file's name of it. The unified table is
+one join of lines with the small mapping of their file.
 
 Defined results: lines that aren't JSON objects are left out of profiles and
 give a row of nulls in the unified table; null values count for presence but
 not for types; a file without JSON objects holds no field; of types with
 equal counts the alphabetically first wins; a field whose values are all null
 has no type and is never retyped; rows without feed or file number are left
-out; empty tables give empty results; extra columns are ignored.
+out; empty tables give empty results; extra columns are ignored. In the unified table a
+value that doesn't read as its field's type is null, a number with a fraction is no
+long, and an object with one plain member, {"name": "x"}, stands for that member
+where the field is a string.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.frames import frame
+from telemill.session import cut_lineage, stored
 
 N_HASH = 24
-_CHARS = {"digit": r"[^0-9]", "alpha": r"[^\p{L}]", "slash": r"[^/]", "dash": r"[^-]", "dot": r"[^.]"}
+#: Classes of characters: those to count, or a pattern of those to leave out.
+_CHARS = {"digit": "0123456789", "alpha": r"[^\p{L}]", "slash": "/", "dash": "-", "dot": "."}
 _TYPES = ("array", "boolean", "number", "object", "string")
 _CHANGES = "feed string, file_no long, change_kind string, field string, new_name string"
 
@@ -53,36 +59,43 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 def profiles(lines: DataFrame) -> DataFrame:
     """One row per (feed, file_no, key) that belongs to the file."""
     objects = parsed_lines(lines)
-    exploded = objects.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("v").outer())).select("feed", "file_no", F.col("key"), F.col("value"))
+    exploded = objects.lateralJoin(lines.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select("feed", "file_no", "pos", "key", "value")
     kind = F.schema_of_variant("value")
     typed = exploded.select(
-        "feed", "file_no", "key",
+        "feed", "file_no", "key", (F.coalesce("pos", F.lit(0)) == 0).alias("first"),
         F.when(kind == "VOID", None).when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number").alias("kind"),
         F.when(kind != "VOID", F.when(kind == "STRING", F.try_variant_get("value", "$", "string")).otherwise(F.to_json("value"))).alias("text"),
     )
+    typed = typed.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     size = F.log10(F.abs(F.col("text").try_cast("double")) + 1e-6)
-    long = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+
+    def share(chars: str) -> Column:
+        n = F.length("text")
+        held = F.length(F.regexp_replace("text", chars, "")) if chars.startswith("[^") else n - F.length(F.translate("text", chars, ""))
+        return F.coalesce(held.cast("double"), F.lit(0.0)) / F.greatest(n, F.lit(1))
+
     stats = typed.groupBy("feed", "file_no", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("text").alias("n_value"),
         *[F.count_if(F.col("kind") == t).alias(f"n_{t}") for t in _TYPES],
-        F.array(*[F.min(F.xxhash64("text", F.lit(i))) for i in range(N_HASH)]).alias("sketch"),
+        F.array(*[F.min(F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(i)))) for i in range(N_HASH)]).alias("sketch"),
+        F.count_if("first").alias("n_first"),
         F.approx_count_distinct("text", 0.05).alias("n_distinct"),
         F.avg(F.length("text")).alias("len"),
-        *[F.avg(long(F.length(F.regexp_replace("text", pattern, ""))) / F.greatest(F.length("text"), F.lit(1))).alias(f"c_{name}") for name, pattern in _CHARS.items()],
+        *[F.avg(share(chars)).alias(f"c_{name}") for name, chars in _CHARS.items()],
         F.count(size).alias("n_numeric"),
         F.avg(size).alias("mag"),
         F.stddev_pop(size).alias("mag_sd"),
     )
-    totals = objects.groupBy("feed", "file_no").agg(F.count(F.lit(1)).alias("n_lines"))
     counts = F.array(*[F.struct((-F.col(f"n_{t}")).alias("k"), F.lit(t).alias("t")) for t in _TYPES])
     main = F.array_min(counts)
+    # Every object counts with its first key, so lines need no pass of their own.
     return (
-        stats.join(totals, ["feed", "file_no"])
-        .where(F.col("n") * 2 >= F.col("n_lines"))
+        stats.withColumn("n_lines", F.sum("n_first").over(Window.partitionBy("feed", "file_no")))
+        .where(F.col("key").isNotNull() & (F.col("n") * 2 >= F.col("n_lines")))
         .withColumn("type", F.when(main["k"] < 0, main["t"]))
-        .drop(*[f"n_{t}" for t in _TYPES])
+        .drop("n_first", *[f"n_{t}" for t in _TYPES])
     )
 
 
@@ -145,50 +158,67 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
 
 def changes(profile: DataFrame, threshold: float = 0.4, name_bonus: float = 0.1) -> DataFrame:
     """feed, file_no, change_kind, field, new_name: every change of a file against the file before it."""
+    profile = stored(profile)
     files = profile.select("feed", "file_no").distinct().withColumn("next_no", F.lead("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
     both = profile.join(files, ["feed", "file_no"]).withColumn("side", F.explode(F.array(F.struct(F.lit(1).alias("s"), F.col("file_no").alias("at")), F.struct(F.lit(0).alias("s"), F.col("next_no").alias("at")))))
     first = profile.groupBy("feed").agg(F.min("file_no").alias("first_no"))
     both = both.where(F.col("side.at").isNotNull()).drop("next_no", "n_lines").withColumn("pair_no", F.col("side.at")).withColumn("is_new", F.col("side.s") == 1).drop("side")
     both = both.join(first, "feed").where(F.col("pair_no") > F.col("first_no"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        feed, file_no = pdf["feed"].iloc[0], int(pdf["pair_no"].iloc[0])
+    # Fields that both sides have, and files where nothing goes or nothing comes, need no matching.
+    both = both.repartition("feed", "pair_no")
+    by_key, by_file = Window.partitionBy("feed", "pair_no", "key"), Window.partitionBy("feed", "pair_no")
+    sides = both.withColumns({"sides": F.count(F.lit(1)).over(by_key), "least": F.min("type").over(by_key), "most": F.max("type").over(by_key)})
+    sides = sides.where((F.col("sides") == 1) | (F.col("least") != F.col("most")))
+    single = F.col("sides") == 1
+    sides = sides.withColumn("matched", F.max(single & F.col("is_new")).over(by_file) & F.max(single & ~F.col("is_new")).over(by_file) & single)
+    report = lambda rows, kind: rows.select("feed", F.col("pair_no").alias("file_no"), kind.alias("change_kind"), F.col("key").alias("field"), F.col("key").alias("new_name"))
+    plain = report(sides.where(single & ~F.col("matched")), F.when(F.col("is_new"), "added").otherwise("removed")).unionAll(report(sides.where(~single & F.col("is_new")), F.lit("retyped")))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
         old = {r["key"]: r for r in pdf[~pdf["is_new"]].to_dict("records")}
         new = {r["key"]: r for r in pdf[pdf["is_new"]].to_dict("records")}
-        gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-        out = [("retyped", k, k) for k in sorted(old.keys() & new.keys()) if old[k]["type"] and new[k]["type"] and old[k]["type"] != new[k]["type"]]
-        if gone and come:
-            content = np.array([[content_likeness(old[a], new[b]) for b in come] for a in gone])
-            names = np.array([[name_likeness(a, b) for b in come] for a in gone])
-            score = np.where(content >= threshold, content + name_bonus * names, 0.0)
-            for i, j in assign(score):
-                if score[i, j] > 0:
-                    out.append(("renamed", gone[i], come[j]))
-        renamed = {f for kind, f, _ in out if kind == "renamed"}, {t for kind, _, t in out if kind == "renamed"}
+        gone, come, out = sorted(old), sorted(new), []
+        content = np.array([[content_likeness(old[a], new[b]) for b in come] for a in gone])
+        names = np.array([[name_likeness(a, b) for b in come] for a in gone])
+        score = np.where(content >= threshold, content + name_bonus * names, 0.0)
+        for i, j in assign(score):
+            if score[i, j] > 0:
+                out.append(("renamed", gone[i], come[j]))
+        renamed = {f for _, f, _ in out}, {t for _, _, t in out}
         out += [("removed", k, k) for k in gone if k not in renamed[0]] + [("added", k, k) for k in come if k not in renamed[1]]
-        return frame({"feed": feed, "file_no": file_no, "change_kind": [o[0] for o in out], "field": [o[1] for o in out], "new_name": [o[2] for o in out]})
+        return frame({"feed": pdf["feed"].iloc[0], "file_no": int(pdf["pair_no"].iloc[0]), "change_kind": [o[0] for o in out], "field": [o[1] for o in out], "new_name": [o[2] for o in out]})
 
-    return both.groupBy("feed", "pair_no").applyInPandas(compare, _CHANGES)
+    return plain.unionAll(sides.where("matched").groupBy("feed", "pair_no").applyInPandas(match, _CHANGES))
 
 
-def field_names(lines: DataFrame, change: DataFrame, fields: list[str]) -> DataFrame:
-    """feed, file_no, names map<field, key in that file>: renames followed along each feed."""
-    files = lines.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).select("feed", F.col("file_no").cast("long").alias("file_no"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("new_name")).distinct()
-    renames = change.where(F.col("change_kind") == "renamed").select("feed", "file_no", "field", "new_name")
+def rename_roots(change: DataFrame) -> DataFrame:
+    """feed, file_no, root, new_name: every rename with the field that its chain of renames began with."""
+    renames = change.where((F.col("change_kind") == "renamed") & F.col("field").isNotNull() & F.col("new_name").isNotNull()).select("feed", "file_no", "field", "new_name").distinct()
+    # A file takes its old keys before it gives new ones, so ends of chains (0) come before beginnings (1).
+    uses = renames.select("feed", "file_no", F.col("field").alias("key"), F.lit(0).alias("gives"), "field", "new_name").unionAll(renames.select("feed", "file_no", F.col("new_name").alias("key"), F.lit(1).alias("gives"), "field", "new_name"))
+    w = Window.partitionBy("feed", "key").orderBy("file_no", "gives", "field")
+    of = lambda c: F.lag(c).over(w)
+    linked = uses.withColumns({"up": F.when(of("gives") == 1, F.struct(of("file_no").alias("file_no"), of("field").alias("field")))}).where("gives = 0").drop("key", "gives")
+    # Pointers double until none is left: as many rounds as the binary digits of the longest chain.
+    at = cut_lineage(linked.withColumn("root", F.when(F.col("up").isNull(), F.col("field"))))
+    while at.where("root IS NULL").limit(1).count():
+        above = at.select(F.col("feed").alias("f"), F.col("file_no").alias("n"), F.col("field").alias("k"), F.col("up").alias("next"), F.col("root").alias("found"))
+        joined = at.join(above, (F.col("feed") == F.col("f")) & (F.col("up.file_no") == F.col("n")) & (F.col("up.field") == F.col("k")), "left")
+        at = cut_lineage(joined.select("feed", "file_no", "field", "new_name", F.col("next").alias("up"), F.coalesce("root", "found").alias("root")))
+    return at.select("feed", "file_no", "root", "new_name")
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        canonical: dict[str, str] = {}  # key in use -> consistent field
-        rows = []
-        for no, part in pdf.sort_values("file_no", kind="stable").groupby("file_no", sort=True):
-            moves = [(a, b) for a, b in zip(part["field"], part["new_name"]) if isinstance(a, str) and isinstance(b, str)]
-            targets = [(canonical.pop(a, a), b) for a, b in sorted(moves)]
-            canonical.update({b: f for f, b in targets})
-            names = {f: f for f in fields}
-            names.update({f: k for k, f in canonical.items() if f in names})
-            rows.append((pdf["feed"].iloc[0], int(no), names))
-        return frame({"feed": [r[0] for r in rows], "file_no": [r[1] for r in rows], "names": [r[2] for r in rows]})
 
-    return files.unionByName(renames).groupBy("feed").applyInPandas(follow, "feed string, file_no long, names map<string,string>")
+def field_names(lines: DataFrame, change: DataFrame, fields: list[str]) -> DataFrame:
+    """feed, file_no, names map<field, key in that file>: renames followed along each feed."""
+    files = lines.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).select("feed", F.col("file_no").cast("long").alias("file_no")).distinct()
+    roots = rename_roots(change).where(F.col("root").isin(*fields))
+    every = files.withColumn("root", F.explode(F.array(*[F.lit(f) for f in fields]))).withColumn("new_name", F.lit(None).cast("string"))
+    # Renames of a file count for the file itself.
+    w = Window.partitionBy("feed", "root").orderBy("file_no", F.col("new_name").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    named = every.unionByName(roots).withColumn("key", F.last("new_name", ignorenulls=True).over(w)).where("new_name IS NULL")
+    pairs = F.collect_list(F.struct("root", F.coalesce("key", "root").alias("key")))
+    return named.groupBy("feed", "file_no").agg(F.map_from_entries(pairs).alias("names"))
 
 
 def _typed(text: Column, kind: str) -> Column:
@@ -199,7 +229,8 @@ def _typed(text: Column, kind: str) -> Column:
     if kind.startswith("array"):
         return F.when(text.startswith("["), F.from_json(text, kind))
     if kind == "long":
-        return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
+        number = text.try_cast("double")
+        return F.coalesce(text.try_cast("long"), F.when(number == F.floor(number), number.try_cast("long")))
     return text.try_cast(kind)
 
 
