@@ -2,7 +2,7 @@
 
 Records fall into cells of a triangle: event period by arrival period. A cell is
 aggregated once; a running sum over the arrival periods of an event period
-gives every corrected revision of its count. Records beyond the cut-off are
+gives every corrected revision of its count and of the sums of its measures. Records beyond the cut-off are
 filtered before the triangle. Everything is Spark SQL; the only shuffles are
 the one that removes copies and the one that builds the cells (pre-aggregated
 on the map side, so one hot source or period does not meet in one task).
@@ -35,7 +35,7 @@ def readable_seconds(text: Column) -> Column:
 
 
 def json_log_records(envelopes: DataFrame) -> DataFrame:
-    """record_id, service, arrival, event of every record in the json_logs bodies, copies merged."""
+    """record_id, service, arrival, event, failed, latency_ms of every record in the json_logs bodies, copies merged."""
     body = F.trim(F.col("bytes").cast("string"))
     parsed = (
         envelopes.where((F.col("kind") == "json_logs") & F.col("bytes").isNotNull() & F.col("ts_unix").isNotNull())
@@ -50,9 +50,11 @@ def json_log_records(envelopes: DataFrame) -> DataFrame:
         F.col("ts_unix").alias("arrival"),
         F.coalesce(F.nullif(get("service"), F.lit("")), F.lit("unknown")).alias("service"),
         F.coalesce(readable_seconds(get("ts")), readable_seconds(get("timestamp_unix_nano"))).alias("event"),
+        F.when(F.lower(get("level")).isin("error", "fatal"), 1).otherwise(0).alias("failed"),
+        F.try_variant_get("v", "$.latency_ms", "double").alias("latency_ms"),
     ).where(F.col("record_id").isNotNull())
-    first = fields.groupBy("record_id").agg(F.min(F.struct("arrival", "service", "event")).alias("r"))
-    return first.select("record_id", "r.service", "r.arrival", F.coalesce("r.event", "r.arrival").alias("event"))
+    first = fields.groupBy("record_id").agg(F.min(F.struct("arrival", "service", "event", "failed", "latency_ms")).alias("r"))
+    return first.select("record_id", "r.service", "r.arrival", F.coalesce("r.event", "r.arrival").alias("event"), "r.failed", "r.latency_ms")
 
 
 def correction_triangle(
@@ -63,29 +65,35 @@ def correction_triangle(
     window_s: int = 300,
     cutoff_s: int = 3600,
     period_s: int = 120,
+    measures: dict[str, str] | None = None,
 ) -> DataFrame:
     """Every revision of the count of every (keys, window): one row per arrival period that brought records.
 
+    measures: further sums by name, each with its SQL expression over the records; null values add nothing.
+
     arrival_period 0 holds all that came before period_s had passed after the window's end, period n what
     came from n * period_s on. Columns: keys, window_start, window_end, arrival_period, new_records, records
     (the corrected count as of this revision), revision (1, 2, ...), is_final.
     """
-    names = ", ".join(f"`{k}`" for k in keys)
+    names, more = ", ".join(f"`{k}`" for k in keys), measures or {}
+    taken = "".join(f", {x} AS `{m}`" for m, x in more.items())
+    summed = "".join(f", coalesce(sum(`{m}`), 0) AS `{m}`" for m in more)
+    revised = "".join(f", sum(`{m}`) OVER w AS `{m}`" for m in more)
     return records.sparkSession.sql(
         f"""
         WITH kept AS (
-          SELECT {names}, `{arrival}` AS a, `{event}` - pmod(`{event}`, {window_s}) AS window_start
+          SELECT {names}, `{arrival}` AS a, `{event}` - pmod(`{event}`, {window_s}) AS window_start{taken}
           FROM {{records}} WHERE `{arrival}` - `{event}` <= {cutoff_s}
         ), cells AS (
           SELECT {names}, window_start,
                  greatest(0, (a - window_start - {window_s}) div {period_s}) AS arrival_period,
-                 count(*) AS new_records
+                 count(*) AS new_records{summed}
           FROM kept GROUP BY ALL
         )
         SELECT {names}, window_start, window_start + {window_s} AS window_end, arrival_period, new_records,
                sum(new_records) OVER w AS records,
                row_number() OVER w AS revision,
-               lead(arrival_period) OVER w IS NULL AS is_final
+               lead(arrival_period) OVER w IS NULL AS is_final{revised}
         FROM cells
         WINDOW w AS (PARTITION BY {names}, window_start ORDER BY arrival_period)
         """,

@@ -116,6 +116,17 @@ def top_k(logs: DataFrame, seconds: int, field: str, limit: int = 5) -> DataFram
     return _top(cells(logs, seconds, [field], None, None, None), limit).drop("kind")
 
 
+def reservoir(logs: DataFrame, seconds: int, value: str = "latency_ms", cap: int = 256, seed: int = 0) -> DataFrame:
+    """service, window_start, value: a seeded sample of at most cap values of every group, the same on every run.
+
+    A sample is what is asked for here; the percentiles of a summary use every value.
+    """
+    key = [F.col(c) for c in sorted(logs.columns)]
+    placed = windowed(logs, seconds).where(F.col(value).isNotNull()).withColumn("__h", F.xxhash64(F.lit(seed), F.to_json(F.struct(*key))))
+    chosen = placed.withColumn("__place", F.row_number().over(Window.partitionBy(*_GROUP).orderBy("__h", value))).where(F.col("__place") <= cap)
+    return chosen.select(*_GROUP, F.col(value).cast("double").alias("value"))
+
+
 def summarize(logs: DataFrame, seconds: int, fields: Sequence[str] | dict[str, str], value: str = "latency_ms", user: str | None = "user", limit: int = 5, levels: Sequence[str] = ERROR_LEVELS) -> DataFrame:
     """Aggregate rows (labels, summary) of logs: top_<field> and unique_users labels, text with the first top-k.
 

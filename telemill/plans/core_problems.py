@@ -11,7 +11,8 @@ from telemill.session import all_rows, cut_lineage, table
 
 def p3_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = late_events.json_log_records(table(spark, sf_dir, "envelopes"))
-    return late_events.correction_triangle(records, ["service"])
+    made = late_events.correction_triangle(records, ["service"], measures={"errors": "failed", "latency_sum": "CAST(round(latency_ms * 1000) AS BIGINT)"})
+    return made.withColumn("latency_sum", F.col("latency_sum") / 1000)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +83,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RECORDS_SQL = """b AS (SELECT ts_unix, trim(decode(bytes)) AS t FROM envelopes WHERE kind = 'json_logs' AND bytes IS NOT NULL AND ts_unix IS NOT NULL),
 j AS (SELECT ts_unix, try_cast(t AS JSON) AS j FROM b WHERE starts_with(t, '{')),
-f AS (SELECT j->>'rid' AS rid, ts_unix AS arrival, coalesce(nullif(j->>'service', ''), 'unknown') AS service, j->>'ts' AS a, j->>'timestamp_unix_nano' AS n FROM j WHERE json_type(j) = 'OBJECT'),
-e AS (SELECT rid, arrival, service,
+f AS (SELECT j->>'rid' AS rid, ts_unix AS arrival, coalesce(nullif(j->>'service', ''), 'unknown') AS service, j->>'ts' AS a, j->>'timestamp_unix_nano' AS n, (lower(j->>'level') IN ('error', 'fatal'))::INT AS failed, try_cast(j->>'latency_ms' AS DOUBLE) AS latency FROM j WHERE json_type(j) = 'OBJECT'),
+e AS (SELECT rid, arrival, service, coalesce(failed, 0) AS failed, latency,
         coalesce(CASE WHEN try_cast(a AS BIGINT) IS NOT NULL THEN CASE WHEN a::BIGINT < 100000000000 THEN a::BIGINT WHEN a::BIGINT < 100000000000000 THEN a::BIGINT // 1000
                  WHEN a::BIGINT < 100000000000000000 THEN a::BIGINT // 1000000 ELSE a::BIGINT // 1000000000 END
                  WHEN regexp_matches(a, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]') THEN epoch_us(try_cast(a AS TIMESTAMPTZ)) // 1000000 END,
                  try_cast(n AS BIGINT) // 1000000000) AS event
       FROM f WHERE rid IS NOT NULL),
-r AS (SELECT rid, service, arrival, coalesce(event, arrival) AS event FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY arrival, service, event NULLS FIRST) AS k FROM e) WHERE k = 1),
-c AS (SELECT service, event - event % 300 AS window_start, greatest(0, (arrival - (event - event % 300) - 300) // 120) AS arrival_period, count(*) AS new_records
+r AS (SELECT rid, service, arrival, coalesce(event, arrival) AS event, failed, latency FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY arrival, service, event NULLS FIRST) AS k FROM e) WHERE k = 1),
+c AS (SELECT service, event - event % 300 AS window_start, greatest(0, (arrival - (event - event % 300) - 300) // 120) AS arrival_period, count(*) AS new_records, sum(failed) AS errors, coalesce(sum(round(latency * 1000)::BIGINT), 0) AS latency
       FROM r WHERE arrival - event <= 3600 GROUP BY ALL)"""
 
 _READINGS_SQL = """a AS (SELECT *, row_number() OVER (PARTITION BY service, window_start, f ORDER BY agg_id) AS copy FROM (
@@ -113,7 +114,7 @@ ORACLE_SQL = {
         c AS (SELECT service, field FROM m WHERE NOT bad GROUP BY ALL HAVING min(v) < max(v)) SELECT service, window_start, field FROM n JOIN c USING (service, field) WHERE len >= 10""",
     "p3_found": f"WITH {_RECORDS_SQL} SELECT DISTINCT service, window_start FROM c WHERE arrival_period >= 1",
     "p3_revisions": f"""WITH {_RECORDS_SQL} SELECT service, window_start, window_start + 300 AS window_end, arrival_period, new_records, sum(new_records) OVER w ::BIGINT AS records, row_number() OVER w AS revision,
-        lead(arrival_period) OVER w IS NULL AS is_final FROM c WINDOW w AS (PARTITION BY service, window_start ORDER BY arrival_period)""",
+        lead(arrival_period) OVER w IS NULL AS is_final, sum(errors) OVER w ::BIGINT AS errors, (sum(latency) OVER w ::BIGINT) / 1000 AS latency_sum FROM c WINDOW w AS (PARTITION BY service, window_start ORDER BY arrival_period)""",
     "p4_observed": """SELECT service, window_start - window_start % 60 AS slot_start, arg_min(rps, agg_id) AS rps FROM aggregates WHERE service IS NOT NULL AND window_start IS NOT NULL AND rps IS NOT NULL AND NOT isnan(rps) GROUP BY ALL""",
     "p4_marks": """WITH m AS (SELECT service, window_start - window_start % 60 AS slot, rps IS NOT NULL AND NOT isnan(rps) AS good FROM aggregates WHERE service IS NOT NULL AND window_start IS NOT NULL),
         x AS (SELECT service, slot // 86400 AS day, (max(slot) - min(slot)) // 60 + 1 AS n, count(DISTINCT slot) FILTER (good) AS seen FROM m GROUP BY ALL)

@@ -655,6 +655,25 @@ def k4_fan_out(spark: SparkSession, d: str) -> DataFrame:
 # Operators without a query of their own so far
 
 
+@query(f"WITH {views.LOGS_SQL} SELECT service, ts - ts % 3600 AS window_start, least(count(*), 16) AS n, 0::BIGINT AS foreign_values FROM logs WHERE latency_ms IS NOT NULL GROUP BY ALL")
+def a15_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the samples, and how many of their values no record of the group holds."""
+    rows = views.logs(spark, d)
+    held = logs.windowed(rows, 3600).where("latency_ms IS NOT NULL").select("service", "window_start", F.col("latency_ms").alias("value"), F.lit(True).alias("held")).distinct()
+    sample = logs.reservoir(rows, 3600, cap=16)
+    return sample.join(held, ["service", "window_start", "value"], "left").groupBy("service", "window_start").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("held").isNull()).alias("foreign_values"))
+
+
+@query(
+    f"""SELECT agg_id, round(least(greatest(exp(-((CASE WHEN {_P99} <= 0.3 THEN 1 ELSE 2 END) + (CASE WHEN {_RPS} <= 40 THEN 2 ELSE 1 END) + (CASE WHEN {_ER} <= 0.01 THEN 64 ELSE 1 END)) / 3.0 / {forest.mean_path(256)!r}), 0), 1), 6) AS anomaly_score FROM aggregates"""
+)
+def m2_arrow_walk(spark: SparkSession, d: str) -> DataFrame:
+    """A forest with a cycle, which can't become an expression: the walk in Arrow batches ends after 64 steps."""
+    trees = forest.load_model({"model": {"trees": [*_TREES["trees"], {"nodes": [{"f": 1, "t": 0.01, "l": 0, "r": 1}, {"leaf": True}]}]}})
+    x = forest.feature_vector()
+    return table(spark, d, "aggregates").select("agg_id", F.round(forest.score(x, trees), 6).alias("anomaly_score"))
+
+
 def _nested_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every counter point as a nested request with a sum, a histogram and a gauge."""
     p = views.counter_points(spark, d)

@@ -99,6 +99,23 @@ def test_assignment_is_optimal():
             assert sum(s[i, j] for i, j in got) == pytest.approx(best)
 
 
+def test_fill_beats_the_mean_on_held_out_readings(spark):
+    """Every ninth reading of real rows is hidden; the factorisation must be nearer to it than the source's own day."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/aggregates.parquet").where("service IS NOT NULL AND rps > 0 AND rps < 1e6").select("agg_id", "service", "window_start", "rps").toPandas().sort_values("agg_id").drop_duplicates(["service", "window_start"])
+    hidden = rows[rows["agg_id"] % 9 == 0]
+    df = spark.createDataFrame(rows.assign(rps=rows["rps"].where(rows["agg_id"] % 9 != 0)))
+    grid = regular_grid.regular_grid(df, "service", "window_start", "rps", "agg_id").where("status = 'filled'").toPandas()
+    hidden = hidden.assign(slot_start=hidden["window_start"] // 60 * 60)
+    both = hidden.merge(grid, left_on=["service", "slot_start"], right_on=["source", "slot_start"])
+    rest = rows[rows["agg_id"] % 9 != 0]
+    mean = rest.assign(l=np.log1p(rest["rps"]), day=rest["window_start"] // 86_400).groupby(["service", "day"])["l"].mean()
+    base = np.log1p(both["rps"]) - mean.loc[list(zip(both["service"], both["window_start"] // 86_400))].to_numpy()
+    err = np.log1p(both["rps"]) - np.log1p(both["value"])
+    ratio = float(np.median(np.abs(err)) / np.median(np.abs(base)))
+    print("held out", len(both), "median error", float(np.median(np.abs(err))), "of the mean's", ratio)
+    assert len(both) > 4000 and ratio < 0.9
+
+
 def _brute_spikes(pdf: pd.DataFrame) -> set:
     cases = set()
     for s, x in pdf.groupby("service"):
