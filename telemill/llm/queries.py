@@ -230,14 +230,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, available, n_over, n_twice, off_target: texts of every target, rows above the cap, rows of one text, shares off by more than half a percent."""
+    """source, available, n_over, n_twice, off_target: texts of every target, rows above the cap, rows of one text, shares off by more than half a percent and the largest text."""
     mixed, targets = cut_lineage(p9_mix(spark, sf_dir)), table(spark, sf_dir, "source_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    got = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("repeats").alias("repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("t"))
-    got = got.join(F.broadcast(targets.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n_over"), F.count_if(F.col("rows") > 1).alias("n_twice"), F.sum("t").alias("t"))
+    got = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("repeats").alias("repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("t"), F.max("tokens").alias("most"))
+    got = got.join(F.broadcast(targets.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n_over"), F.count_if(F.col("rows") > 1).alias("n_twice"), F.sum("t").alias("t"), F.max("most").alias("most"))
     there = table(spark, sf_dir, "documents").where("text <> '' AND doc_id IS NOT NULL").groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("available"))
     joined = targets.join(there, "source", "left").join(got, "source", "left").na.fill(0)
     all_t, all_w = F.sum("t").over(Window.partitionBy()), F.sum(F.when(F.col("available") > 0, F.col("target_share"))).over(Window.partitionBy())
-    off = F.when(F.col("available") > 0, F.abs(F.col("t") / all_t - F.col("target_share") / all_w) > 0.005).otherwise(F.col("t") > 0)
+    off = F.when(F.col("available") > 0, F.abs(F.col("t") / all_t - F.col("target_share") / all_w) > 0.005 + F.max("most").over(Window.partitionBy()) / all_t).otherwise(F.col("t") > 0)
     return joined.select("source", "available", "n_over", "n_twice", off.alias("off_target"))
 
 
