@@ -138,7 +138,10 @@ _NUMBERED = "No|Nos|p|pp"
 #: English words that open a sentence: after a single capital they show that it wasn't an initial.
 _OPENERS = "The|This|These|Those|That|There|Then|Thus|They|It|Its|In|If|We|Our|He|She|His|Her|A|An|And|As|At|But|By|For|From|Here|Hence|However|Later|Moreover|Next|On|To|When|Where|While|With"
 #: What a text of a language holds most of: fixed words between blanks.
-_FUNCTION_WORDS = {"en": ("the", "of", "and", "is", "that", "we"), "fr": ("les", "des", "est", "une", "dans", "et"), "de": ("der", "und", "die", "ist", "das", "wir"), "es": ("los", "una", "del", "las", "es", "y")}
+_FUNCTION_WORDS = {
+    "en": ("the", "of", "and", "is", "that", "we", "it", "to", "for"), "fr": ("les", "des", "est", "une", "dans", "et", "le", "du"), "de": ("der", "und", "die", "ist", "das", "wir", "ein", "mit"),
+    "es": ("los", "una", "del", "las", "el", "por", "con"),
+}
 _ABBR_EITHER = "etc|a\\.m|p\\.m|usw|Jh|т\\.\\s?д|т\\.\\s?п|г|гг|в|вв|U\\.S|Inc|Ltd|Co|Jr|Bros|млн|млрд|тыс|руб"  # end only before a capital
 _Rule = tuple[bool, str | None, str | None]
 GENERAL: list[_Rule] = [
@@ -180,11 +183,11 @@ ENGLISH: list[_Rule] = [
 
 
 def _abbreviations(language: str) -> list[_Rule]:
-    words = _INNER[language]
+    words = "|".join(w for w in _INNER.values() if w) if language == "latn" else _INNER[language]
     return [(False, rf"(?<![\p{{L}}\p{{M}}.])(?:{words})\.$", rf"(?!{_SP}(?:{HARD}|\Z))")] if words else []
 
 
-_TABLES = {"east": EAST_ASIAN, "deva": DEVANAGARI, "thai": THAI, "cyrl": CYRILLIC, "en": ENGLISH, "fr": [], "de": [], "es": []}
+_TABLES = {"east": EAST_ASIAN, "deva": DEVANAGARI, "thai": THAI, "cyrl": CYRILLIC, "en": ENGLISH, "fr": [], "de": [], "es": [], "latn": []}
 
 
 def _compile(table: list[_Rule]) -> list[tuple[bool, object, object]]:
@@ -212,8 +215,10 @@ def language_of(masked: str) -> str:
     latin = int((((points | 32) >= 97) & ((points | 32) <= 122)).sum() + ((points >= 0xC0) & (points <= 0x24F)).sum())
     if n[best] * 4 > latin and n[best]:
         return best
-    held = {name: sum(masked.count(f" {w} ") for w in words) for name, words in _FUNCTION_WORDS.items()}
-    return max(held, key=held.get)  # English where nothing speaks for another
+    text = f" {masked.lower()} "
+    held = {name: sum(text.count(f" {w} ") for w in words) for name, words in _FUNCTION_WORDS.items()}
+    most = max(held, key=held.get)
+    return most if held[most] else "latn"
 
 
 def _decide(rules: list, s: str, at: int) -> bool:
