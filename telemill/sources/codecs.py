@@ -37,7 +37,7 @@ def snappy_block_decode(data: bytes) -> bytes:
         return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
     except IndexError:
         return _snappy_decode(data)
-    except (pa.ArrowException, OverflowError, MemoryError) as e:
+    except (pa.ArrowException, OSError, OverflowError, MemoryError) as e:
         raise ValueError("not a block") from e
 
 
