@@ -209,7 +209,7 @@ _LEAD = regex.compile(rf"[\s~{GAP}{DISPLAY}{CLOSER}]*")
 
 def language_of(masked: str) -> str:
     """The language, or the script of languages that have one of their own, whose rule tables a text needs."""
-    points = np.frombuffer(masked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(b"" if masked.isascii() else masked.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = {name: int(sum(((points >= lo) & (points <= hi)).sum() for lo, hi in ranges)) for name, ranges in _SCRIPTS.items()}
     best = max(n, key=n.get)
     latin = int((((points | 32) >= 97) & ((points | 32) <= 122)).sum() + ((points >= 0xC0) & (points <= 0x24F)).sum())
