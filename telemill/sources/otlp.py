@@ -85,51 +85,76 @@ def _scalar(kind: str, raw: Any) -> Any:
     return raw - (1 << 64) if raw >> 63 else raw
 
 
+_MESSAGE, _PACKED, _VARINT = "message", "fixed", "varint"
+
+
+def _plan(kind: str) -> tuple:
+    """(many, kind, how to read it, struct of a fixed number or None)."""
+    many, base = kind[0] == "[", kind.strip("[]")
+    how = _MESSAGE if base[0].isupper() else _PACKED if base in _FIXED else base if base in ("string", "bytes") else _VARINT
+    return many, base, how, struct.Struct(_FIXED[base]) if base in _FIXED else None
+
+
+_PLANS = {message: {number: (name, *_plan(kind)) for number, (name, kind) in fields.items()} for message, fields in MESSAGES.items()}
+
+
 def decode(message: str, data: bytes) -> dict[str, Any]:
     """The known fields of a message; WireError if the bytes aren't one."""
-    fields, out, at = MESSAGES[message], {}, 0
-    while at < len(data):
-        key, at = _varint(data, at)
+    plans, out, at, end = _PLANS[message], {}, 0, len(data)
+    while at < end:
+        key = data[at]
+        if key < 0x80:
+            at += 1
+        else:
+            key, at = _varint(data, at)
         number, wire = key >> 3, key & 7
         if number == 0:
             raise WireError("field 0")
-        if wire == 0:
-            raw, at = _varint(data, at)
-        elif wire in (1, 5):
-            size = 8 if wire == 1 else 4
+        if wire == 2:
+            size = data[at] if at < end else 0x80
+            if size < 0x80:
+                at += 1
+            else:
+                size, at = _varint(data, at)
             raw = data[at : at + size]
             at += size
-            if len(raw) < size:
+            if at > end:
                 raise WireError("truncated")
-        elif wire == 2:
-            size, at = _varint(data, at)
+        elif wire == 0:
+            raw, at = _varint(data, at)
+        elif wire in (1, 5):
+            size = 8 if wire == 1 else 4
             raw = data[at : at + size]
             at += size
-            if len(raw) < size:
+            if at > end:
                 raise WireError("truncated")
         else:
             raise WireError("wire type")
-        if number not in fields:
+        plan = plans.get(number)
+        if plan is None:
             continue
-        name, kind = fields[number]
-        many, kind = kind[0] == "[", kind.strip("[]")
-        if kind[0].isupper():
+        name, many, kind, how, fixed = plan
+        if how is _MESSAGE:
             if wire != 2:
                 raise WireError("message expected")
-            values = [decode(kind, raw)]
-        elif kind in _FIXED:
-            width = struct.calcsize(_FIXED[kind])
-            if wire == 0 or len(raw) % width or (wire == 2) != (many and wire == 2):
+            value = decode(kind, raw)
+        elif how is _PACKED:
+            if wire == 0 or len(raw) % fixed.size or (wire == 2 and not many):
                 raise WireError("fixed expected")
-            values = [x for (x,) in struct.iter_unpack(_FIXED[kind], raw)]
-        elif (wire == 2) != (kind in ("string", "bytes")):
+            values = [x for (x,) in fixed.iter_unpack(raw)]
+            if many:
+                out.setdefault(name, []).extend(values)
+            elif values:
+                out[name] = values[-1]
+            continue
+        elif (wire == 2) != (how is not _VARINT):
             raise WireError("type")
         else:
-            values = [_scalar(kind, raw)]
+            value = _scalar(kind, raw)
         if many:
-            out.setdefault(name, []).extend(values)
-        elif values:
-            out[name] = values[-1]
+            out.setdefault(name, []).append(value)
+        else:
+            out[name] = value
     return out
 
 
