@@ -59,6 +59,10 @@ class WireError(ValueError):
     pass
 
 
+#: What a body raises that is no message of its kind, or nests deeper than any sender means it to.
+_UNREADABLE = (WireError, RecursionError)
+
+
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -147,7 +151,7 @@ def decode(message: str, data: bytes) -> dict[str, Any]:
             elif values:
                 out[name] = values[-1]
             continue
-        elif (wire == 2) != (how is not _VARINT):
+        elif wire != (0 if how is _VARINT else 2):
             raise WireError("type")
         else:
             value = _scalar(kind, raw)
@@ -285,7 +289,7 @@ def decode_bodies(bodies: DataFrame, column: str, message: str) -> DataFrame:
                 if body is not None:
                     try:
                         rows.extend(list(rows_of(bytes(body))))
-                    except WireError:
+                    except _UNREADABLE:
                         continue
             cells = list(zip(*rows)) if rows else [()] * len(names)
             yield frame({n: list(c) if c else np.empty(0, dtype=object) for n, c in zip(names, cells)})
@@ -311,7 +315,7 @@ def decode_or_pass(envelopes: DataFrame, message: str, keep: tuple[str, ...] = (
                 got: list[tuple] = []
                 try:
                     got = [] if skipped else list(rows_of(bytes(body)))
-                except WireError:
+                except _UNREADABLE:
                     pass
                 rest = [None if isinstance(x, float) and x != x else x for x in rest]
                 rows.extend((*r, *rest, None) for r in got)
@@ -333,7 +337,7 @@ def decodable(body: Column, message: str) -> Column:
         def good(x: bytes | None) -> bool:
             try:
                 return x is not None and sum(1 for _ in rows_of(bytes(x))) >= 0
-            except WireError:
+            except _UNREADABLE:
                 return False
 
         return pd.Series([good(x) for x in b])

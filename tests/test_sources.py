@@ -54,6 +54,25 @@ def test_wire_round_trip(value):
     json.dumps(otlp.any_json(value))
 
 
+def test_broken_bodies_are_wire_errors():
+    """Changed and cut bodies decode or raise WireError; a number that comes as fixed bytes is such an error."""
+    import random
+
+    r = random.Random(5)
+    span = {"kind": 2, "start": 1, "end": 300, "attributes": [{"key": "a", "value": {"int": -5}}], "status": {"code": 2}}
+    body = otlp.encode("Traces", {"resource_spans": [{"scope_spans": [{"spans": [span, span]}]}]})
+    for _ in range(4000):
+        x = bytearray(body[: r.randrange(1, len(body) + 1)])
+        for _ in range(r.randrange(4)):
+            x[r.randrange(len(x))] = r.randrange(256)
+        try:
+            otlp.decode(r.choice(["Traces", "Logs", "Metrics", "AnyValue", "Span"]), bytes(x))
+        except otlp.WireError:
+            pass
+    with pytest.raises(otlp.WireError):
+        otlp.decode("Span", bytes([6 << 3 | 5, 1, 0, 0, 0]))
+
+
 def test_json_is_no_protobuf():
     for text in (b'{"resourceLogs":[]}', b'{"a":1}', b"[1,2]", b"plain text"):
         with pytest.raises(otlp.WireError):
