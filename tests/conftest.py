@@ -24,7 +24,9 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sf():
-    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    from tests.oracle import DATA
+
+    return os.environ.get("TEST_SF_DIR", f"{DATA}/sf0.001")
 
 
 @pytest.fixture(scope="session")

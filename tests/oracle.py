@@ -8,6 +8,9 @@ import os
 
 import duckdb
 
+#: The folder that holds the tables of every scale.
+DATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()

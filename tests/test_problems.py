@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from telemill.operators import late_events, regular_grid, schema_drift, spikes
 from telemill.plans import core_problems as P
 
+from .oracle import DATA
+
 
 @pytest.mark.parametrize("kind", ["empty", "wide", "nulls"])
 @pytest.mark.parametrize("name", ["p3_found", "p4_found", "p5_found", "p5_table", "p7_found"])
@@ -101,7 +103,7 @@ def test_assignment_is_optimal():
 
 def test_fill_beats_the_mean_on_held_out_readings(spark):
     """Every ninth reading of real rows is hidden; the factorisation must be nearer to it than the source's own day."""
-    rows = spark.read.parquet("/root/testdata/sf0.1/aggregates.parquet").where("service IS NOT NULL AND rps > 0 AND rps < 1e6").select("agg_id", "service", "window_start", "rps").toPandas().sort_values("agg_id").drop_duplicates(["service", "window_start"])
+    rows = spark.read.parquet(f"{DATA}/sf0.1/aggregates.parquet").where("service IS NOT NULL AND rps > 0 AND rps < 1e6").select("agg_id", "service", "window_start", "rps").toPandas().sort_values("agg_id").drop_duplicates(["service", "window_start"])
     hidden = rows[rows["agg_id"] % 9 == 0]
     df = spark.createDataFrame(rows.assign(rps=rows["rps"].where(rows["agg_id"] % 9 != 0)))
     grid = regular_grid.regular_grid(df, "service", "window_start", "rps", "agg_id").where("status = 'filled'").toPandas()
@@ -141,7 +143,7 @@ def _brute_spikes(pdf: pd.DataFrame) -> set:
 
 
 def test_spikes_against_brute_force(spark):
-    path = "/root/testdata/sf0.01"
+    path = f"{DATA}/sf0.01"
     pdf = spark.read.parquet(f"{path}/aggregates.parquet").select("agg_id", "service", "window_start", "rps", "error_rate", "p50", "p99").toPandas().sort_values("agg_id")
     got = {(r["service"], r["window_start"], r["field"]) for r in P.p7_found(spark, path).collect()}
     want = _brute_spikes(pdf)
