@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm import distinct_counts, heavy_hitters, mixing, packing, queries, sentences, similar_vectors, tokens
 
-from ..oracle import assert_same, connect
+from ..oracle import DATA, assert_same, connect
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -93,7 +93,7 @@ def test_hilbert_keys_are_a_curve():
 
 
 def test_neighbours_against_brute_force(spark):
-    path = "/root/testdata/sf0.1"
+    path = f"{DATA}/sf0.1"
     rows = spark.read.parquet(f"{path}/aggregate_vectors.parquet")
     pdf = similar_vectors.usable_vectors(rows, "vec_id", "vector", 128).toPandas()
     x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
