@@ -15,8 +15,8 @@ Scale: usual scatter comes from mergeable quantile sketches of the differences;
 the filter runs on chunks of one day of one source, each with the last and
 first `halo` readings of its neighbours, so no task ever sees more than a day
 of a source however hot it is, and results don't depend on the chunk bounds
-for runs and groups shorter than the halo. Readings are shuffled twice, to
-their chunk and to the tasks of their halos, and written once in between.
+for runs and groups shorter than the halo. Copies are merged before anything is
+placed by source; the ranked readings are written once and read twice.
 
 Defined results: null and NaN are no readings; copies (same source and time)
 count once, the smallest tie-break id wins; rows without source or time are
@@ -140,12 +140,11 @@ def flag_readings(
     once = (
         readings.where(F.col(source).isNotNull() & F.col(time).isNotNull())
         .select(F.col(source).alias("source"), F.col(time).cast("long").alias("time"), F.col(tie).alias("tie"), *[F.col(f).cast("double").alias(f"f_{f}") for f in [*fields, *carry]])
-        .withColumn("chunk", F.floor(F.col("time") / chunk_s))
-        # The chunk's place serves the copies and the ranks alike.
-        .repartition("source", "chunk")
-        .groupBy("source", "chunk", "time")
+        # Copies meet on the map side first: a source and day with a third of all rows is a day's readings afterwards.
+        .groupBy("source", "time")
         .agg(*[F.min_by(f"f_{f}", F.when(valid(f"f_{f}"), F.coalesce(F.col("tie"), F.lit(2**62)))).alias(f) for f in [*fields, *carry]])
         .withColumns({f"bad_{f}": F.when(F.col(f).isNotNull(), F.coalesce(impossible[f] | (F.abs(f) == float("inf")), F.lit(False))) for f in fields})
+        .withColumn("chunk", F.floor(F.col("time") / chunk_s))
         .drop(*carry)
     )
     in_chunk = Window.partitionBy("source", "chunk").orderBy("time")
