@@ -40,7 +40,7 @@ def _user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day, combo, service, env, operation, users, rel_error of every day and combination."""
+    """day, combo, service, env, operation, users, rel_error, at_least, at_most of every day and combination."""
     base = distinct_counts.sketch(_user_rows(spark, sf_dir), ["day", *DIMS], "user")
     return distinct_counts.estimate(distinct_counts.combinations(base, "day", DIMS), ["day", "combo", *DIMS])
 
@@ -62,11 +62,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = lambda a, b: [a[g].eqNullSafe(b[g]) for g in groups]
     counts = p1_distinct_users(spark, sf_dir).alias("c")
     r = reported.alias("r")
-    judged = r.join(counts, same(r, counts), "left").select(*[r[c] for c in reported.columns], F.coalesce(counts["users"], F.lit(0.0)).alias("users"), F.coalesce(counts["rel_error"], F.lit(0.0)).alias("rel_error"))
-    off = F.abs(F.col("reported") - F.col("users"))
-    # Within six standard errors of the limit (and one collision of two users) the sketch can't decide; an exact recount of those groups follows.
-    unsure = F.col("reported").isNotNull() & (F.abs(off - 0.1 * F.col("users")) <= 6 * F.col("rel_error") * F.col("users") + 1.5)
-    judged = cut_lineage(judged.withColumn("unsure", unsure).withColumn("wrong", F.col("reported").isNull() | (off > 0.1 * F.col("users"))))
+    bound = lambda c: F.coalesce(counts[c], F.lit(0.0)).alias(c)
+    judged = r.join(counts, same(r, counts), "left").select(*[r[c] for c in reported.columns], bound("at_least"), bound("at_most"))
+    # A report is right for counts from reported / 1.1 to reported / 0.9. Where the bounds of the count lie on both sides of
+    # one of these, the sketch can't decide; an exact recount of those groups follows.
+    least, most = F.col("reported") / 1.1, F.col("reported") / 0.9
+    right = (F.col("at_least") >= least) & (F.col("at_most") <= most)
+    wrong = F.col("reported").isNull() | (F.col("at_most") < least) | (F.col("at_least") > most)
+    judged = cut_lineage(judged.withColumn("unsure", F.col("reported").isNotNull() & ~right & ~wrong).withColumn("wrong", wrong))
     doubtful = judged.where("unsure").select(*groups).distinct()
     combos = [x["combo"] for x in doubtful.select("combo").distinct().limit(8).collect()]
     exact = _recount(_user_rows(spark, sf_dir), _small(doubtful), combos, groups).alias("e")
@@ -90,7 +93,7 @@ def _recount(rows: DataFrame, wanted: DataFrame, combos: list[int], groups: list
 
 
 def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day, combo, n_groups, n_beyond: groups of every combination, and those whose estimate is off by more than six standard errors and one collision."""
+    """day, combo, n_groups, n_beyond: groups of every combination, and those whose true count lies outside the bounds."""
     rows = _user_rows(spark, sf_dir)
     users = rows.groupBy("day", *DIMS, "user").agg(F.lit(1).alias("one")).drop("one")
     wide = users.withColumn("combo", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(DIMS) - 1))))
@@ -99,7 +102,7 @@ def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = wide.groupBy("day", "combo", *DIMS).agg(F.count_distinct("user").alias("n"))
     found = p1_distinct_users(spark, sf_dir)
     same = [exact[g].eqNullSafe(found[g]) for g in ["day", "combo", *DIMS]]
-    beyond = found["users"].isNull() | (F.abs(found["users"] - exact["n"]) > 6 * found["rel_error"] * exact["n"] + 1.5)
+    beyond = found["users"].isNull() | ~exact["n"].between(found["at_least"], found["at_most"])
     return exact.join(found, same, "left").groupBy(exact["day"], exact["combo"]).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(beyond).alias("n_beyond"))
 
 
