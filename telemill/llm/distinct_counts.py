@@ -73,20 +73,22 @@ def estimate(sketches: DataFrame, groups: list[str]) -> DataFrame:
     ones = sketches.groupBy(*groups).agg(*[F.sum(F.when(F.col("level") == i, F.bit_count("bits")).otherwise(0)).alias(f"o{i}") for i in range(LEVELS)])
     o = [F.col(f"o{i}") for i in range(LEVELS)]
     base = F.greatest(*[F.when(o[i] > SATURATED, F.lit(i + 1)).otherwise(F.lit(0)) for i in range(LEVELS)])
-    base = F.least(base, F.lit(LEVELS - 1))
+    # Each step is a projection of its own: Spark copies no computed column that is used more than once, whereas as one Column
+    # the first level would be copied into every use of every later figure, a plan of a megabyte and more for the driver.
+    steps = ones.withColumn("o_base", F.least(base, F.lit(LEVELS - 1)))
+    base, users, error, mean, spread = (F.col(c) for c in ("o_base", "users", "rel_error", "o_mean", "o_spread"))
     linear = [-BITS * F.log1p(-F.least(c, F.lit(BITS - 1)) / BITS) for c in o]
     total = sum((F.when(base <= i, x).otherwise(0.0) for i, x in enumerate(linear)), F.lit(0.0))
     # Without saturation only the collisions of the first levels err: sqrt(e^p - p - 1) / (p sqrt(bits)) at load p, here its bound for p <= 1.4.
-    error = F.when(base == 0, F.lit(0.0072)).otherwise(F.lit(STANDARD_ERROR))
-    users = total * F.pow(F.lit(2.0), base)
+    steps = steps.withColumn("users", total * F.pow(F.lit(2.0), base)).withColumn("rel_error", F.when(base == 0, F.lit(0.0072)).otherwise(F.lit(STANDARD_ERROR)))
     # Small sets are off by whole users only: their estimate misses the mean of the collisions less those that were.
     # Without collisions it is too large by that mean, with j of them too small by j less the mean; j is Poisson.
-    mean = users * users / (6.0 * BITS)
-    spread = F.when(base == 0, F.least(6.0 * error * users, 6.0 * F.sqrt(mean))).otherwise(6.0 * error * users)
+    steps = steps.withColumn("o_mean", users * users / (6.0 * BITS))
+    steps = steps.withColumn("o_spread", F.when(base == 0, F.least(6.0 * error * users, 6.0 * F.sqrt(mean))).otherwise(6.0 * error * users))
     # The mean follows from how the identifiers fell to the levels: six standard deviations of that, and its next term.
     fall = 6.0 * F.pow(users, 1.5) / (4.0 * BITS) + F.pow(users, 3.0) / (21.0 * BITS * BITS)
     below = F.when(base == 0, F.least(spread + 0.01, mean + fall + 0.01)).otherwise(spread)
     # So many collisions come at most with a probability of 0.9999, where they are too few for a normal distribution.
     rare = F.when(mean < 0.014, 1.0).when(mean < 0.08, 2.0).when(mean < 0.2, 3.0)
     above = F.when(base == 0, F.coalesce(rare, spread + 1.0)).otherwise(spread)
-    return ones.select(*groups, users.alias("users"), error.alias("rel_error"), (users - below).alias("at_least"), (users + above).alias("at_most"))
+    return steps.select(*groups, users, error, (users - below).alias("at_least"), (users + above).alias("at_most"))

@@ -14,3 +14,10 @@ def test_bounds_hold(spark):
     found = distinct_counts.estimate(distinct_counts.sketch(rows.withColumn("u", F.concat_ws("-", "s", "n", "i")), ["s", "n"], "u"), ["s", "n"])
     assert found.where("n NOT BETWEEN at_least AND at_most").count() == 0 and found.count() == 20 * 9 + 1
     assert found.where("n <= 20 AND (at_most - at_least > 1.2)").count() == 0
+
+
+def test_the_plan_of_the_estimate_stays_small(spark):
+    """The driver holds every copy of an expression: bounds of bounds in one Column made a plan of a million characters."""
+    rows = spark.range(3).selectExpr("id AS s", "CAST(id AS string) AS u")
+    plans = distinct_counts.estimate(distinct_counts.sketch(rows, ["s"], "u"), ["s"])._jdf.queryExecution()
+    assert len(plans.analyzed().toString()) < 50_000 and len(plans.optimizedPlan().toString()) < 50_000
