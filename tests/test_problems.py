@@ -65,6 +65,30 @@ def test_grid_fills_what_it_can(spark):
     assert got["lone", 0]["status"] == "unsupported"
 
 
+def test_every_source_of_a_day_has_its_part_in_the_fill(spark):
+    """More sources than a task takes: two minutes have the readings of two sources only, and a day has fewer sources than the table."""
+    rng = np.random.default_rng(4)
+    level = 20 + 8 * np.sin(np.arange(60) / 9)
+    rows = [(f"s{s:02d}", 60 * m, float(level[m] * (1 + s)), s * 1000 + m) for s in range(70) for m in range(60) if (s in (2 * m, 2 * m + 1) if m in (30, 31) else m in (0, 59) or rng.random() < 0.8)]
+    rows += [(f"s{s:02d}", 86_400 + 60 * m, float(level[m] * (1 + s)), 10**6 + s * 1000 + m) for s in (0, 1, 2) for m in range(60) if (s, m) != (0, 20)]
+    df = spark.createDataFrame(rows, "service string, window_start long, rps double, agg_id long")
+    grid = lambda **k: {(r["source"], r["slot_start"]): (r["status"], r["value"]) for r in regular_grid.regular_grid(df, "service", "window_start", "rps", "agg_id", **k).collect()}
+    got = grid()
+    seen = {(s, t): v for s, t, v, _ in rows}
+    assert len(got) == 70 * 60 + 3 * 60 and all(got[k] == ("observed", v) for k, v in seen.items())
+    assert all(status == "filled" for k, (status, _) in got.items() if k not in seen)
+    error = [abs(got[k][1] / (level[k[1] // 60 % 1440] * (1 + int(k[0][1:]))) - 1) for k in got if k not in seen]
+    assert np.median(error) < 0.05
+    x = np.full((70, 1440), np.nan)
+    for (s, t), v in seen.items():
+        if t < 86_400:
+            x[int(s[1:]), t // 60] = v
+    want = regular_grid.als_fill(x, 3, 0.5, 12, 12, 2)
+    for sources in (64, 7, 70):
+        got = grid(block_sources=sources)
+        assert all(got[k][1] == pytest.approx(want[int(k[0][1:]), k[1] // 60], rel=1e-9) for k in got if k not in seen and k[1] < 86_400)
+
+
 def _lines(feed, file_no, objects):
     return [(feed, file_no, i, json.dumps(o) if not isinstance(o, str) else o) for i, o in enumerate(objects, 1)]
 
