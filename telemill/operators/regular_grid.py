@@ -174,7 +174,7 @@ def regular_grid(
     reading = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value).cast("double"))
     slots = (
         readings.where(F.col(source).isNotNull() & F.col(time).isNotNull())
-        .select(F.col(source).alias("source"), (F.col(time) - F.pmod(time, F.lit(step_s))).alias("slot_start"), reading.alias("value"), F.col(tie).alias("tie"))
+        .select(F.col(source).cast("string").alias("source"), (F.col(time) - F.pmod(time, F.lit(step_s))).alias("slot_start"), reading.alias("value"), F.col(tie).alias("tie"))
         .groupBy("source", "slot_start")
         .agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.coalesce("tie", F.lit(2**62)))).alias("value"))
     )
@@ -188,7 +188,8 @@ def regular_grid(
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         day = int(pdf["day"].iloc[0])
-        names, row = np.unique(pdf["source"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        place = {name: i for i, name in enumerate(sorted(set(pdf["source"])))}  # arrays of text would drop zero characters at an end
+        names, row = np.array(list(place), dtype=object), np.array([place[s] for s in pdf["source"]])
         col = ((pdf["slot_start"].to_numpy() - day * day_s) // step_s).astype(np.int64)
         x = np.full((len(names), width), np.nan)
         x[row, col] = pdf["value"].to_numpy(dtype=np.float64)
@@ -201,7 +202,7 @@ def regular_grid(
     grid = narrow.groupBy("day").applyInPandas(fill, _GRID)
     if sizes:
         cell = F.struct(((F.col("slot_start") - F.col("day") * day_s) / step_s).cast("int").alias("col"), F.coalesce("value", F.lit(float("nan"))).alias("value"))
-        of_wide = slots.join(wide, "day").withColumn("source", F.col("source").cast("string"))
+        of_wide = slots.join(wide, "day")
         packed = of_wide.repartitionByRange("day", "source").groupBy("day", "source").agg(F.collect_list(cell).alias("cells"))
         packed = stored(packed.select("day", "source", F.col("cells.col").alias("col"), F.col("cells.value").alias("value")))
         days = sorted(sizes)

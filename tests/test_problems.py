@@ -89,6 +89,12 @@ def test_every_source_of_a_day_has_its_part_in_the_fill(spark):
         assert all(got[k][1] == pytest.approx(want[int(k[0][1:]), k[1] // 60], rel=1e-9) for k in got if k not in seen and k[1] < 86_400)
 
 
+def test_sources_that_end_in_a_zero_character_keep_their_cells(spark):
+    df = spark.createDataFrame([(s, 60 * m, v + m, i * 100 + m) for i, (s, v) in enumerate([("a", 1.0), ("a\0", 50.0)]) for m in (0, 1, 3)], "service string, window_start long, rps double, agg_id long")
+    got = regular_grid.regular_grid(df, "service", "window_start", "rps", "agg_id").where("status = 'observed'").collect()
+    assert {(r["source"], r["slot_start"] // 60, r["value"]) for r in got} == {(s, m, v + m) for s, v in (("a", 1.0), ("a\0", 50.0)) for m in (0, 1, 3)}
+
+
 def _lines(feed, file_no, objects):
     return [(feed, file_no, i, json.dumps(o) if not isinstance(o, str) else o) for i, o in enumerate(objects, 1)]
 
